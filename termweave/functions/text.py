@@ -64,17 +64,21 @@ def trgm_similarity(a: Column, b: Column) -> Column:
     return F.when(united > 0, shared / united).otherwise(F.lit(0.0))
 
 
-def signature(items: str, word: int) -> Column:
-    """64 of the signature's bits (a superimposed code of the items in an array column)."""
+def signature_bits(items: str) -> Column:
+    """The distinct signature bits of an array column: at most 256, however long the array."""
     bits = 64 * SIGNATURE_WORDS
+    return F.array_distinct(F.transform(items, lambda x: F.pmod(F.xxhash64(x), F.lit(bits)).cast("int")))
+
+
+def signature(bits: str, word: int) -> Column:
+    """One 64-bit word of the signature (a superimposed code) from its distinct bits."""
     return F.expr(
-        f"aggregate(transform({items}, x -> pmod(xxhash64(x), {bits})), 0L, "
-        f"(acc, b) -> acc | if(b div 64 = {word}, shiftleft(1L, cast(b % 64 as int)), 0L))"
+        f"aggregate({bits}, 0L, (acc, b) -> if(b div 64 = {word}, acc | shiftleft(1L, b % 64), acc))"
     )
 
 
-def signature_columns(items: str, prefix: str) -> dict[str, Column]:
-    return {f"{prefix}{w}": signature(items, w) for w in range(SIGNATURE_WORDS)}
+def signature_columns(bits: str, prefix: str) -> dict[str, Column]:
+    return {f"{prefix}{w}": signature(bits, w) for w in range(SIGNATURE_WORDS)}
 
 
 def signature_overlap(left: str, right: str) -> Column:

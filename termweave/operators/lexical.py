@@ -55,14 +55,20 @@ class LexicalIndex:
 
 def analyze_text(df: DataFrame, text: str = "text", into: str = "entries", stem: bool = True) -> DataFrame:
     """T-01: adds an array of (token, pos); stop words are dropped but keep their positions."""
-    raw = df.withColumn("_words", X.words(F.col(text)))
-    raw = raw.withColumn("_stems", X.stem_words("_words") if stem else F.col("_words"))
-    numbered = F.transform("_words", lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos")))
-    kept = F.filter(numbered, lambda x: ~X.is_stop_word(x["word"]))
-    entries = F.transform(
-        kept, lambda x: F.struct(F.element_at("_stems", x["pos"]).alias("token"), x["pos"].alias("pos"))
+    shown = df.withColumn("_words", X.words(F.col(text)))
+    stems = X.stem_words("_words") if stem else F.col("_words")
+
+    def entry(word: Column, token: Column) -> Column:
+        return F.struct(token.alias("token"), word.alias("word"))
+
+    paired = shown.withColumn("_pairs", F.zip_with("_words", stems, entry))
+    numbered = F.transform(
+        "_pairs", lambda p, i: F.struct(p["token"].alias("token"), (i + 1).alias("pos"), p["word"].alias("word"))
     )
-    return raw.withColumn(into, entries).drop("_words", "_stems")
+    kept = F.filter(numbered, lambda p: ~X.is_stop_word(p["word"]))
+    return paired.withColumn(
+        into, F.transform(kept, lambda p: F.struct(p["token"].alias("token"), p["pos"].alias("pos")))
+    ).drop("_words", "_pairs")
 
 
 def trigrams(df: DataFrame, text: str = "text", into: str = "trigrams") -> DataFrame:
@@ -93,10 +99,16 @@ def _weighted_document(rows: DataFrame, stem: bool) -> DataFrame:
     return parts.withColumn("entries", entries).drop("_a", "_b", "_d")
 
 
-def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True) -> LexicalIndex:
+def _signed(df: DataFrame, items: str, prefix: str) -> DataFrame:
+    bits = df.withColumn("_bits", X.signature_bits(items))
+    return bits.withColumns(X.signature_columns("_bits", prefix)).drop("_bits")
+
+
+def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True, similarity: bool = True) -> LexicalIndex:
     """T-03: documents, rows, weighted postings and document frequencies of a corpus.
 
     `corpus`: source, row_id, concept_id, sort_key, sort_text, a (display or term), b, d.
+    Without `similarity` no trigrams are kept, for corpora of long texts matched by words only.
     """
     filled = corpus.fillna("", ["a", "b", "d"])
     keyed = filled.withColumn("doc_id", F.md5(F.concat_ws("\u0001", "a", "b", "d")))
@@ -108,12 +120,11 @@ def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True) -> Le
         _weighted_document(texts, stem)
         .withColumn("match_text", X.word_text(F.col("a")))
         .withColumn("tokens", F.array_distinct(F.transform("entries", lambda e: e["token"])))
-        .withColumn("grams", X.trigrams(F.col("a")))
+        .withColumn("grams", X.trigrams(F.col("a")) if similarity else F.array().cast("array<string>"))
         .withColumn("n_grams", F.size("grams"))
         .withColumn("length", F.size("tokens"))
-        .withColumns(X.signature_columns("tokens", "word_sig"))
-        .withColumns(X.signature_columns("grams", "gram_sig"))
     )
+    documents = _signed(_signed(documents, "tokens", "word_sig"), "grams", "gram_sig")
     in_doc = W.partitionBy(*DOC).orderBy(order)
     rows = (
         keyed.withColumn("n", F.row_number().over(in_doc))
@@ -145,7 +156,7 @@ def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True) -> Le
 def analyze_queries(queries: DataFrame, stem: bool = True) -> DataFrame:
     """Distinct query texts with their tokens, trigrams and signatures, keyed by `text_id`."""
     texts = queries.select(strip(F.col("query")).alias("query")).distinct()
-    return (
+    analysed = (
         analyze_text(texts, "query", "entries", stem)
         .withColumn("text_id", F.md5("query"))
         .withColumn("match_text", X.word_text(F.col("query")))
@@ -153,10 +164,9 @@ def analyze_queries(queries: DataFrame, stem: bool = True) -> DataFrame:
         .withColumn("grams", X.trigrams(F.col("query")))
         .withColumn("n_grams", F.size("grams"))
         .withColumn("need", F.ceil(F.round(SIMILARITY_THRESHOLD * F.col("n_grams"), 6)).cast("int"))
-        .withColumns(X.signature_columns("tokens", "q_word_sig"))
-        .withColumns(X.signature_columns("grams", "q_gram_sig"))
         .drop("entries")
     )
+    return _signed(_signed(analysed, "tokens", "q_word_sig"), "grams", "q_gram_sig")
 
 
 def _q_sig(sig: str) -> list[Column]:
