@@ -416,10 +416,10 @@ def _expansion(spark, sf):
     return H.category_expansion(V.concepts(spark, sf))
 
 
-@query("merge_candidates", _with_rank("ranked") + "SELECT query_id, method, rank, code, round(score, 6) AS score, matched_on FROM ranked")
+@query("merge_candidates", _with_rank("ranked") + "SELECT query_id, method, rank, code, round(score, 8) AS score, matched_on FROM ranked")
 def merge_candidates(spark, sf):
     out = _both(spark, sf, lambda rows: R.merge_candidates(rows, V.concepts(spark, sf)))
-    return out.select("query_id", "method", "rank", "code", F.round("score", 6).alias("score"), "matched_on")
+    return out.select("query_id", "method", "rank", "code", F.round("score", 8).alias("score"), "matched_on")
 
 
 @query("as_hits", _with_rank("ranked") + "SELECT query_id, method, rank, code, '' AS variants FROM ranked")
@@ -428,11 +428,11 @@ def as_hits(spark, sf):
     return out.select("query_id", "method", "rank", "code", F.array_join("variants", " ").alias("variants"))
 
 
-@query("expand_to_billable", _with_rank("expanded") + "SELECT query_id, method, rank, code, round(score, 6) AS score, matched_on FROM expanded")
+@query("expand_to_billable", _with_rank("expanded") + "SELECT query_id, method, rank, code, round(score, 8) AS score, matched_on FROM expanded")
 def expand_to_billable(spark, sf):
     expansion = _expansion(spark, sf)
     out = _both(spark, sf, lambda rows: R.expand_to_billable(R.merge_candidates(rows, V.concepts(spark, sf)), expansion))
-    return out.select("query_id", "method", "rank", "code", F.round("score", 6).alias("score"), "matched_on")
+    return out.select("query_id", "method", "rank", "code", F.round("score", 8).alias("score"), "matched_on")
 
 
 def _ranked_lists(spark, sf, method):

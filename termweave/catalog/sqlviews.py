@@ -80,7 +80,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("part_code",),
         """SELECT l_orderkey AS query_id, CASE WHEN l_returnflag = 'N' THEN 'semantic' ELSE 'text' END AS method,
            CASE WHEN l_linestatus = 'O' THEN -(((tr * 100 + bn) * 10) * 100 + 27) ELSE (l_partkey + 1) * 100 + 27 END AS concept_id,
-           round(l_extendedprice / 100000, 6) AS score,
+           l_extendedprice / 100000 AS score,
            CASE WHEN l_linestatus = 'O' THEN p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) END AS matched_on,
            CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS source, l_linenumber AS source_rank
            FROM lineitem JOIN part_code ON p_partkey = l_partkey""",

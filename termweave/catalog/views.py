@@ -195,7 +195,7 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("query_id"),
         F.when(F.col("l_returnflag") == "N", "semantic").otherwise("text").alias("method"),
         F.when(is_term, header).otherwise(leaf).alias("concept_id"),
-        F.round(F.col("l_extendedprice") / 100000, 6).alias("score"),
+        (F.col("l_extendedprice") / 100000).alias("score"),
         F.when(is_term, F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))).alias("matched_on"),
         is_term.cast("int").alias("source"),
         F.col("l_linenumber").alias("source_rank"),

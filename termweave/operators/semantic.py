@@ -143,9 +143,9 @@ def _cell_topk(k: int):
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
         corpus = corpus.sort_values(["sort_key", "row_id"], kind="stable")
-        right = _matrix(corpus["embedding"]).T
+        right = _matrix(corpus["stored"]).T
         ids, keys = corpus["row_id"].to_numpy(), corpus["sort_key"].to_numpy()
-        left, names = _matrix(queries["embedding"]), queries["query_id"].to_numpy()
+        left, names = _matrix(queries["asked"]), queries["query_id"].to_numpy()
         top = min(k, right.shape[1])
         parts = []
         for at in range(0, len(left), INNER_BLOCK):
@@ -199,14 +199,14 @@ def knn_topk(
     rows = math.ceil(queries.count() / query_block) or 1
     columns = math.ceil(corpus.count() / corpus_block) or 1
     left = queries.select(
-        "query_id", "embedding",
+        "query_id", F.col("embedding").alias("asked"),
         F.pmod(F.xxhash64("query_id"), F.lit(rows)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).cast("bigint").alias("cb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))).alias("cb"),
     )
     right = corpus.select(
-        "row_id", "sort_key", "embedding",
+        "row_id", "sort_key", F.col("embedding").alias("stored"),
         F.pmod(F.xxhash64("row_id"), F.lit(columns)).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("bigint").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("qb"),
     )
     cells = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
     return _keep_best(cells.applyInPandas(_cell_topk(k), _cell_schema(queries, corpus)), k, ["query_id"])
@@ -237,20 +237,24 @@ def ann_topk(
         near = np.argsort(-(_matrix(vectors) @ pivots.value.T), axis=1, kind="stable")
         return pd.Series([row[:n].tolist() for row, n in zip(near, many)])
 
-    stored = corpus.withColumn("list", F.element_at(nearest("embedding", F.lit(1)), 1))
-    asked = queries.withColumn("list", F.explode(nearest("embedding", F.lit(probes))))
+    stored = corpus.select("row_id", "sort_key", F.col("embedding").alias("stored")).withColumn(
+        "list", F.element_at(nearest("stored", F.lit(1)), 1)
+    )
+    asked = queries.select("query_id", F.col("embedding").alias("asked")).withColumn(
+        "list", F.explode(nearest("asked", F.lit(probes)))
+    )
     sizes = (
         stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / corpus_block).alias("columns"))
         .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("rows")), "list")
     )
     grid = F.broadcast(sizes)  # at most `lists` rows
     left = asked.join(grid, "list").select(
-        "query_id", "embedding", "list",
+        "query_id", "asked", "list",
         F.pmod(F.xxhash64("query_id"), F.col("rows")).alias("qb"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("columns") - 1)).alias("cb"),
     )
     right = stored.join(grid, "list").select(
-        "row_id", "sort_key", "embedding", "list",
+        "row_id", "sort_key", "stored", "list",
         F.pmod(F.xxhash64("row_id"), F.col("columns")).alias("cb"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("qb"),
     )
