@@ -239,9 +239,9 @@ def replace_release(spark, sf):
     """Both releases are loaded, then the earlier one is reloaded without headers."""
     path = scratch_path(spark, "concept-table")
     both = V.concepts(spark, sf, None).drop("notes")
-    TB.replace_release(both, path)
+    TB.replace_release(both, path, "code")
     again = both.where("version = '2026' and is_billable").withColumn("display", F.concat(F.lit("new "), "display"))
-    TB.replace_release(again, path)
+    TB.replace_release(again, path, "code")
     stored = spark.read.schema(both.schema).parquet(path)
     return stored.select(F.col("version").cast("string").alias("version"), "code", "display")
 
@@ -254,8 +254,8 @@ def replace_index_terms(spark, sf):
     """Terms of two releases; the current ones are reloaded as see references."""
     path = scratch_path(spark, "index-term-table")
     terms = V.index_terms(spark, sf)
-    TB.replace_release(terms.unionByName(terms.withColumn("version", F.lit("2026"))), path)
-    TB.replace_release(terms.withColumn("via_see", F.lit(True)), path)
+    TB.replace_release(terms.unionByName(terms.withColumn("version", F.lit("2026"))), path, "term")
+    TB.replace_release(terms.withColumn("via_see", F.lit(True)), path, "term")
     return spark.read.schema(terms.schema).parquet(path).select(F.col("version").cast("string").alias("version"), "term", "via_see")
 
 

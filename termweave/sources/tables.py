@@ -30,13 +30,15 @@ def write_eval_set(queries: DataFrame, path: str) -> None:
     queries.select(*EVAL_SET.fieldNames()).write.mode("overwrite").json(path)
 
 
-def replace_release(rows: DataFrame, path: str) -> None:
+def replace_release(rows: DataFrame, path: str, key: str, files: int = 32) -> None:
     """IO-07, IO-08: the releases in `rows` replace their stored rows; other releases stay.
 
-    Atomic per table. Write dependent tables first and switch the release's `active` row last.
+    A release is spread over up to `files` files by a hash of `key`, so the largest release is
+    not written by one task. Atomic per table: write dependent tables first and switch the
+    release's `active` row last.
     """
     (
-        rows.repartition(*RELEASE, F.pmod(F.xxhash64(*rows.columns[:2], rows.columns[-1]), F.lit(32)))
+        rows.repartition(*RELEASE, F.pmod(F.xxhash64(key), F.lit(files)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RELEASE).parquet(path)
     )
 
