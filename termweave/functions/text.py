@@ -157,6 +157,10 @@ def best_extent(query: str, text: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """`best_extent` over pairs; an Arrow batch at a time."""
+def _word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_extent(q, t) for q, t in zip(query, text)], dtype="float64")
+
+
+# `best_extent` over pairs, an Arrow batch at a time. Declared non-deterministic so that a filter
+# on its result is not moved below the cheap filters that come first and evaluated a second time.
+word_similarity = _word_similarity.asNondeterministic()

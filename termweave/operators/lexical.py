@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.functions.codes import strip
-from termweave.session import materialise, rounded, salted_join
+from termweave.session import materialise, rounded, salted_join, width
 
 CODE_SOURCE = 0
 INDEX_SOURCE = 1
@@ -226,7 +226,8 @@ def similar_pairs(queries: DataFrame, index: LexicalIndex) -> DataFrame:
 
     A pair at the threshold shares at least `need` of the query's n distinct trigrams, so it
     shares one of any n - need + 1 of them: only the rarest that many are joined on. The
-    signature then bounds the shared trigrams from above. Neither test loses a match.
+    signature then bounds the shared trigrams from above. Neither test loses a match. A pair
+    appears once per rare trigram it shares.
     """
     grams = queries.select("text_id", "n_grams", "need", F.explode("grams").alias("token"))
     df = index.frequencies.where("kind = 'gram'").drop("kind")
@@ -251,17 +252,24 @@ def similar_pairs(queries: DataFrame, index: LexicalIndex) -> DataFrame:
         _probe(keys, index.postings, "gram")
         .where((F.col("n_items") >= F.col("need")) & (X.signature_overlap("q_sig", "sig") >= F.col("bits")))
         .select("text_id", *DOC)
-        .distinct()
     )
 
 
+def unique_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair once, spread evenly by the whole pair: a query with many pairs is no hot key.
+
+    The number of tasks is given, because a pair costs far more to score than it has bytes.
+    """
+    return pairs.repartition(width(pairs.sparkSession), "text_id", *DOC).distinct()
+
+
 def word_similarity_join(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     """T-09: all (text_id, source, doc_id) with word similarity >= 0.6, and the similarity."""
     q = queries.select("text_id", "need", F.col("grams").alias("q_grams"), F.col("match_text").alias("q_text"))
     d = index.documents.select(*DOC, F.col("grams").alias("d_grams"), F.col("match_text").alias("d_text"))
     shared = F.size(F.array_intersect("q_grams", "d_grams"))
     return (
-        similar_pairs(queries, index)
+        unique_pairs(similar_pairs(queries, index))
         .join(d, DOC)
         .join(q, "text_id")
         .where(shared >= F.col("need"))
@@ -408,7 +416,7 @@ def text_candidates(
 
     def run(some: DataFrame, any_word: bool) -> DataFrame:
         words = match_any_word(some, used) if any_word else match_all_words(some, used)
-        pairs = words.select("text_id", *DOC).unionByName(similar_pairs(some, used)).distinct()
+        pairs = unique_pairs(words.select("text_id", *DOC).unionByName(similar_pairs(some, used)))
         return _best_rows(score_pairs(pairs, some, used, any_word, length_penalty), used, pool)
 
     if match == "fallback":

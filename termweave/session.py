@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Not needed when the job is submitted with the package in `--py-files`.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="termweave-ship-")) / package.name), "zip", package.parent, package.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table that several later stages read, and return the table read back.
 
@@ -94,6 +115,11 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, into: str, chunk: i
     )
 
 
+def width(spark: SparkSession) -> int:
+    """Number of tasks for steps whose work is large for the bytes they read."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rounded(c: Column, digits: int = 9) -> Column:
     """Scores are compared after rounding so that plans of different shape agree on ties."""
     return F.round(c, digits)
