@@ -31,13 +31,15 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 
 def merge_candidates(rows: DataFrame, concepts: DataFrame) -> DataFrame:
-    """R-01: one row per (query, concept) with its best score; ties keep the earliest row."""
+    """R-01: one row per (query, concept) with its best score; ties keep the earliest row.
+
+    The rows are placed by query once; the aggregates and windows of this and the following
+    steps are keyed by query and something else, so they need no further exchange.
+    """
     earliest = F.struct(F.col("score"), -F.col("source"), -F.col("source_rank"))
-    best = rows.groupBy("query_id", "concept_id").agg(
-        F.max_by(F.struct("score", "matched_on"), earliest).alias("b")
-    )
-    known = best.select("query_id", "concept_id", "b.*").join(concepts.select(*CONCEPT), "concept_id")
-    return _ranked(known)
+    known = rows.join(concepts.select(*CONCEPT), "concept_id").repartition("query_id")
+    best = known.groupBy("query_id", *CONCEPT).agg(F.max_by(F.struct("score", "matched_on"), earliest).alias("b"))
+    return _ranked(best.select("query_id", *CONCEPT, "b.*"))
 
 
 def expand_to_billable(merged: DataFrame, expansion: DataFrame) -> DataFrame:
@@ -47,25 +49,28 @@ def expand_to_billable(merged: DataFrame, expansion: DataFrame) -> DataFrame:
     (`category_expansion`). A concept reached several ways keeps its best score; its own hit
     wins a tie, then the better-ranked category.
     """
-    own = merged.where("is_billable").select(
-        "query_id", "concept_id", "code", "sort_order", "score", "matched_on",
-        F.lit(1).alias("is_own"), F.col("rank").alias("via"),
+    child = F.struct("child_id", "child_code", "child_order", "i")
+    children = expansion.groupBy("category").agg(F.collect_list(child).alias("children"))
+    itself = F.array(
+        F.struct(
+            F.col("concept_id").alias("child_id"), F.col("code").alias("child_code"),
+            F.col("sort_order").alias("child_order"), F.lit(0).alias("i"),
+        )
     )
-    inherited = (
-        merged.where("not is_billable")
-        .select("query_id", F.col("code").alias("category"), "score", "matched_on", "rank")
-        .join(expansion.select("category", "child_id", "child_code", "child_order", "i"), "category")
+    reached = F.when(F.col("is_billable"), itself).otherwise(F.col("children"))
+    rows = (
+        merged.join(children, F.col("code") == F.col("category"), "left")
+        .select("query_id", "score", "matched_on", "is_billable", F.col("rank").alias("via"), F.explode(reached).alias("c"))
         .select(
-            "query_id", F.col("child_id").alias("concept_id"), F.col("child_code").alias("code"),
-            F.col("child_order").alias("sort_order"),
-            (F.col("score") - EXPAND_DECAY * F.col("i")).alias("score"), "matched_on",
-            F.lit(0).alias("is_own"), F.col("rank").alias("via"),
+            "query_id", F.col("c.child_id").alias("concept_id"), F.col("c.child_code").alias("code"),
+            F.col("c.child_order").alias("sort_order"), (F.col("score") - EXPAND_DECAY * F.col("c.i")).alias("score"),
+            "matched_on", "is_billable", "via",
         )
+        .repartition("query_id")
     )
-    best = F.max_by(F.struct("score", "matched_on"), F.struct(F.col("score"), F.col("is_own"), -F.col("via")))
+    best = F.max_by(F.struct("score", "matched_on"), F.struct(F.col("score"), F.col("is_billable"), -F.col("via")))
     out = (
-        own.unionByName(inherited)
-        .groupBy("query_id", "concept_id", "code", "sort_order")
+        rows.groupBy("query_id", "concept_id", "code", "sort_order")
         .agg(best.alias("b"))
         .select("query_id", "concept_id", "code", "sort_order", "b.*", F.lit(True).alias("is_billable"))
     )
