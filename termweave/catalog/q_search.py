@@ -269,8 +269,8 @@ def done_count(spark, sf):
 
 @query("embed_batches")
 def embed_batches(spark, sf):
-    """Vectors for every part without one."""
-    todo = E.pending_rows(_part_rows(spark, sf), _part_vectors(spark, sf).where("row_id < 0"), V.MODEL, ["sort_order"])
+    """Vectors of a second model, side by side with the given ones: every part is pending for it."""
+    todo = E.pending_rows(_part_rows(spark, sf), _part_vectors(spark, sf), V.MODEL, ["sort_order"])
     made = E.embed_batches(todo, V.MODEL, V.ENCODER, V.DIMENSIONS)
     return made.select("row_id", "model", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
 

@@ -132,3 +132,8 @@ def test_plans_have_no_nested_loop(spark):
     for match in ("all", "any"):
         plan = L.text_candidates(asked, index, match=match)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pool_is_cut_before_the_shuffle(spark):
+    plan = L.text_candidates(queries(spark), L.build_postings(corpus(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
