@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.llm import bpe, token_counts
 from termweave.llm import host_rules as HR
 from termweave.session import ship_package
 
@@ -79,3 +81,28 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged, rules = HR.host_rules(docs, keep=["doc_id"])
     return judged.select("doc_id", *[F.col(f"{rules}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by the sentence-piece model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = docs.select("doc_id", bpe.encoded(F.col("text"), *ranks).alias("ids"))
+    both = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), *ranks).alias("back"))
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("back"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole text, as digests."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
