@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import host_rules
+from termweave.llm import host_rules, ngram_join
 from termweave.llm.common import written
 from termweave.session import ship_package
 
@@ -19,7 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.passing(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join: five words, similarity of 0.8."""
+    ship_package(spark)
+    return ngram_join.one_of_each(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
 #: Edit distances, latent spaces and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

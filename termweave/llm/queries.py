@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, token_counts
+from termweave.llm import bpe, ngram_join, token_counts
 from termweave.llm import host_rules as HR
 from termweave.session import ship_package
 
@@ -106,3 +106,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: 4-word shingles, Jaccard similarity of 0.85."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    options = ngram_join.JoinOptions(words=4, percent=85)
+    return ngram_join.similar(docs, options=options).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
