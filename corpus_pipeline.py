@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import host_rules, ngram_join
+from termweave.llm import host_rules, ngram_join, repeats
 from termweave.llm.common import written
 from termweave.session import ship_package
 
@@ -25,7 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_of_each(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 200-byte strings that also start anywhere else."""
+    ship_package(spark)
+    return repeats.without_repeated_text(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages)]
 #: Edit distances, latent spaces and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

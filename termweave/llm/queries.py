@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, ngram_join, token_counts
+from termweave.llm import bpe, ngram_join, repeats, token_counts
 from termweave.llm import host_rules as HR
 from termweave.session import ship_package
 
@@ -114,3 +114,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     options = ngram_join.JoinOptions(words=4, percent=85)
     return ngram_join.similar(docs, options=options).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated 200-byte strings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done, into = repeats.without_repeats(docs, length=200)
+    return done.select("doc_id", *[F.col(f"{into}.{c}") for c in ("n_bytes", "n_removed", "n_spans")], F.sha2(F.col(f"{into}.kept"), 256).alias("kept_sha256"))
