@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, ngram_join, repeats, token_counts
+from termweave.llm import bpe, lang_id, ngram_join, repeats, token_counts, toxicity
 from termweave.llm import host_rules as HR
+from termweave.llm.common import remainder
 from termweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done, into = repeats.without_repeats(docs, length=200)
     return done.select("doc_id", *[F.col(f"{into}.{c}") for c in ("n_bytes", "n_removed", "n_spans")], F.sha2(F.col(f"{into}.kept"), 256).alias("kept_sha256"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 5)
+    trees = lang_id.fit(docs.filter(fold != 0))
+    found = docs.select("doc_id", (fold == 0).alias("held_out"), lang_id.language(F.col("text"), trees).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, divisor: int, held_out: int) -> DataFrame:
+    """doc_id, text and label of the rows that may be learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(remainder("doc_id", divisor) != held_out)
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")), "doc_id")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text, learned from four folds of five."""
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic", 5, 0))
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
