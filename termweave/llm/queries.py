@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from termweave.llm import bpe, lang_id, ngram_join, repeats, token_counts, toxicity
 from termweave.llm import host_rules as HR
-from termweave.llm.common import remainder
+from termweave.llm import rule_ensemble as RE
+from termweave.llm.common import remainder, written
 from termweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +149,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from two folds of three."""
+    measured = written(RE.statistics(table(spark, sf_dir, "documents"), ["doc_id"]), "op3-statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    fold = remainder("doc_id", 3)
+    ensemble = RE.fit(measured.filter(fold != 1).join(labels, "doc_id"))
+    scored = measured.select("doc_id", (fold == 1).alias("held_out"), RE.compiled(ensemble).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
