@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, lang_id, ngram_join, repeats, token_counts, toxicity
+from termweave.llm import bpe, lang_id, ngram_join, repeats, token_counts, toxicity, warc
 from termweave.llm import host_rules as HR
 from termweave.llm import rule_ensemble as RE
 from termweave.llm.common import remainder, written
@@ -160,3 +160,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensemble = RE.fit(measured.filter(fold != 1).join(labels, "doc_id"))
     scored = measured.select("doc_id", (fold == 1).alias("held_out"), RE.compiled(ensemble).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, read back from the archives written for them."""
+    found = warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
