@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import host_rules, ngram_join, repeats
+from termweave.llm import host_rules, latent, ngram_join, repeats
+from termweave.llm.queries import bpe_digests
 from termweave.llm.common import written
 from termweave.session import ship_package
 
@@ -31,8 +32,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return repeats.without_repeated_text(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages)]
-#: Edit distances, latent spaces and merges are beyond SQL; tests hold the stages against brute force.
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    ship_package(spark)
+    return latent.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    ship_package(spark)
+    return bpe_digests(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks), ("byte_bpe", byte_bpe),
+]
+#: Components, repeated strings and latent spaces are beyond one SQL statement; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

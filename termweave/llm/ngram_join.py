@@ -90,7 +90,7 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 def frequent_tokens(docs: DataFrame, text: str, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
     """Upper halves of frequent tokens, ascending, and the documents they are in.
 
-    Counted over twice the prefix of every document. The list has at most `most_frequent` entries of 12 bytes.
+    All tokens of all documents are counted. The list has at most `most_frequent` entries of 12 bytes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +106,20 @@ def frequent_tokens(docs: DataFrame, text: str, options: JoinOptions) -> tuple[n
             for value in texts(batch, text):
                 found = shingles(value, options.words)
                 if len(found):
-                    head = found[: 2 * prefix_size(len(found), options.percent)]
-                    held.append(np.unique((head >> np.uint64(32)).astype(np.uint32)))
-                    size += len(head)
-                if size > 1 << 21:
+                    upper = (found >> np.uint64(32)).astype(np.uint32)  # ascending, as the tokens are
+                    held.append(upper[np.concatenate([[True], upper[1:] != upper[:-1]])])
+                    size += len(found)
+                if size > 1 << 22:
                     yield counted()
                     size = 0
         if held:
             yield counted()
 
-    counts = docs.select(text).mapInArrow(count, "token int, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= options.frequent).orderBy(F.desc("n"), "token").limit(options.most_frequent).toPandas()
+    # Batches are counted already, so rows go to their token's task as they are.
+    counts = docs.select(text).mapInArrow(count, "token int, n int").repartition("token").groupBy("token").agg(F.sum("n").alias("n"))
+    often = written(counts.filter(F.col("n") >= options.frequent), "op9-frequent")
+    top = often.orderBy(F.desc("n"), "token").limit(options.most_frequent).toPandas()
+    discard(often)
     tokens = top["token"].to_numpy(np.int32).view(np.uint32)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy(np.int64)[order]
@@ -183,7 +186,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     marks = classes.join(wanted, F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "s1", "s2")
-    asked = docs.select(F.col(key).cast("bigint").alias(key), text).join(wanted.withColumnRenamed("id", key), key, "left_semi")
+    asked = docs.select(F.col(key).cast("bigint").alias(key), text).join(wanted.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     table = written(asked.mapInArrow(sets, "id bigint, tokens array<bigint>, s1 bigint, s2 bigint").join(marks, ["id", "s1", "s2"], "left_semi").select("id", "tokens"), "op9-sets")
     left = table.select(F.col("id").alias("u"), F.col("tokens").alias("a"))
     right = table.select(F.col("id").alias("v"), F.col("tokens").alias("b"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, lang_id, ngram_join, repeats, token_counts, toxicity, warc
+from termweave.llm import bpe, lang_id, latent, ngram_join, repeats, token_counts, toxicity, warc
 from termweave.llm import host_rules as HR
 from termweave.llm import rule_ensemble as RE
 from termweave.llm.common import remainder, written
@@ -167,3 +167,10 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, read back from the archives written for them."""
     found = warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document leaks, verbatim or paraphrased."""
+    found = latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.col("common").alias("common_words"), F.col("words").alias("item_words"), F.round("cosine", 4).alias("cosine"))
