@@ -20,8 +20,8 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,7 +135,10 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for values in batches:
-            yield pa.array([own.encode(v) for v in pc.fill_null(values, "").to_pylist()], pa.list_(pa.int32()))
+            # One text's ids at a time are Python numbers; a batch holds them as 32-bit integers.
+            ids = [np.array(own.encode(v.as_py() or ""), np.int32) for v in values]
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
     return F.coalesce(encode(text), F.array().cast("array<int>"))
 
@@ -147,6 +150,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for values in batches:
-            yield pa.array([own.decode(v or []) for v in values.to_pylist()], pa.binary())
+            flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
+            yield pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
     return F.coalesce(decode(ids), F.lit("").cast("binary"))
