@@ -110,7 +110,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE bodies AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS tokens
+  FROM bodies),
+posted AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM posted a JOIN posted b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached(u, v) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u)
+SELECT doc_id, len(tokens) AS n_shingles, (SELECT min(v) FROM reached WHERE u = doc_id) AS component_id FROM sets
+""")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 4-word shingles, Jaccard similarity of 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -118,7 +132,23 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(docs, options=options).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-@query()
+@query(r"""
+WITH bodies AS (SELECT doc_id, encode(coalesce(text, '')) AS body, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, body, unnest(range(1, n - 198)) AS s FROM bodies WHERE n >= 200),
+named AS (SELECT doc_id, s, md5(hex(body[s:s + 199])) AS name FROM starts),
+again AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY name) AS c FROM named) WHERE c > 1),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS opens FROM again),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(s) AS first, max(s) + 200 AS next FROM grouped GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(next) OVER (PARTITION BY doc_id ORDER BY g), 1) AS a, first AS b FROM spans
+  UNION ALL SELECT doc_id, max(next), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(body[a:coalesce(b, n + 1) - 1]), '' ORDER BY a) AS kept FROM gaps JOIN bodies USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(next - first) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN kept IS NULL THEN body ELSE unhex(kept) END) AS kept_sha256
+FROM bodies LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+""")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without its repeated 200-byte strings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -162,7 +192,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query()
+#: SHA-1 in base 32: forty bits of the hexadecimal digest give eight digits.
+_BASE32_SQL = (
+    f"array_to_string(list_transform(range(32), lambda k: substr('{warc.BASE32}', 1 + (((('0x' || substr(h, 1 + 10 * (k // 8), 10))::UBIGINT "
+    ">> (35 - 5 * (k % 8))) & 31)::INT), 1)), '')"
+)
+
+
+@query(f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS original FROM payloads)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM firsts
+""")
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, read back from the archives written for them."""
     found = warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
