@@ -50,7 +50,7 @@ class JoinOptions:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 16:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -109,7 +109,7 @@ def frequent_tokens(docs: DataFrame, text: str, options: JoinOptions) -> tuple[n
                     upper = (found >> np.uint64(32)).astype(np.uint32)  # ascending, as the tokens are
                     held.append(upper[np.concatenate([[True], upper[1:] != upper[:-1]])])
                     size += len(found)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield counted()
                     size = 0
         if held:
