@@ -87,7 +87,7 @@ def save_candidates(spark, sf):
     """Top hits of hybrid search for every condition of every valid encounter."""
     encounters = C.accepted(C.validate_encounters(encounter_lines(spark, sf)))
     items = P.with_item_ids(C.flatten_items(encounters.dropDuplicates(["encounter_id"])))
-    saved = P.save_candidates(items, V.release(spark, sf), V.ENCODER, V.MODEL, V.DIMENSIONS)
+    saved = P.save_candidates(items, V.release(spark, sf), V.ENCODER, V.MODEL, V.DIMENSIONS, V.INSTRUCTION)
     return saved.withColumn("variants", F.array_join("variants", " "))
 
 
@@ -96,7 +96,7 @@ def code_encounters(spark, sf):
     """The whole batch: intake, retrieval, scoring, assignment, routing."""
     coded = P.code_encounters(
         encounter_lines(spark, sf).select("value"), V.release(spark, sf), V.ENCODER, V.MODEL, V.DIMENSIONS,
-        {"search-rank": P.search_rank_scorer}, "search-rank",
+        {}, C.SEARCH_RANK, instruction=V.INSTRUCTION,
     )
     return coded.encounters.select("encounter_id", "patient_id", "status", "review_queue")
 
@@ -580,8 +580,8 @@ def audit_events(spark, sf):
 
 @query("audit_trail")
 def audit_trail(spark, sf):
-    """The trail of every encounter in close review."""
-    return RV.audit_trail(audit(spark, sf), encounters(spark, sf).where("review_queue = 'close_review'"))
+    """The trail of every encounter."""
+    return RV.audit_trail(audit(spark, sf), encounters(spark, sf))
 
 
 @query(

@@ -213,14 +213,19 @@ def route_count(spark, sf):
 
 @query(
     "empty_result_rate",
-    with_ctes("part_code", extra={"h": "SELECT DISTINCT l_returnflag AS config, l_linestatus AS mode, l_orderkey FROM lineitem"})
-    + """SELECT config, mode, count(*) AS answered, (SELECT count(*) FROM orders) AS queries, (SELECT count(*) FROM orders) - count(*) AS empty,
-    round(((SELECT count(*) FROM orders) - count(*)) / CAST((SELECT count(*) FROM orders) AS DOUBLE), 6) AS empty_rate FROM h GROUP BY 1, 2""",
+    with_ctes("part_code", extra={
+        "h": "SELECT DISTINCT l_returnflag AS config, l_linestatus AS mode, l_orderkey FROM lineitem",
+        "l": "SELECT c.config, m.mode FROM (VALUES ('A'), ('N'), ('R'), ('unused')) c(config) CROSS JOIN (VALUES ('F'), ('O')) m(mode)",
+    })
+    + """SELECT l.config, l.mode, count(h.l_orderkey) AS answered, (SELECT count(*) FROM orders) AS queries, (SELECT count(*) FROM orders) - count(h.l_orderkey) AS empty,
+    round(((SELECT count(*) FROM orders) - count(h.l_orderkey)) / CAST((SELECT count(*) FROM orders) AS DOUBLE), 6) AS empty_rate
+    FROM l LEFT JOIN h ON h.config = l.config AND h.mode = l.mode GROUP BY 1, 2""",
 )
 def empty_result_rate(spark, sf):
     queries = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"))
     hits = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("config"), F.col("l_linestatus").alias("mode"))
-    return EV.empty_result_rate(queries, hits, ["config", "mode"]).withColumn("empty_rate", F.round("empty_rate", 6))
+    lists = [{"config": c, "mode": m} for c in ("A", "N", "R", "unused") for m in ("F", "O")]
+    return EV.empty_result_rate(queries, hits, lists).withColumn("empty_rate", F.round("empty_rate", 6))
 
 
 # ── summaries over line items as results ──
@@ -284,10 +289,11 @@ def summary_slices(spark, sf):
     f"""WITH r AS ({_RESULT}), m AS (SELECT config, dataset, round(count(*) FILTER (WHERE rank <= 10) / CAST(count(*) AS DOUBLE), 6) AS a,
     round(count(*) FILTER (WHERE rank <= 100) / CAST(count(*) AS DOUBLE), 6) AS b FROM r WHERE mode = 'hybrid' GROUP BY 1, 2)
     SELECT dataset, max(a) FILTER (WHERE config = 'A') AS "A_r_at_10", max(b) FILTER (WHERE config = 'A') AS "A_r_at_100",
-    max(a) FILTER (WHERE config = 'N') AS "N_r_at_10", max(b) FILTER (WHERE config = 'N') AS "N_r_at_100" FROM m GROUP BY 1""",
+    max(a) FILTER (WHERE config = 'N') AS "N_r_at_10", max(b) FILTER (WHERE config = 'N') AS "N_r_at_100",
+    max(a) FILTER (WHERE config = 'R') AS "R_r_at_10", max(b) FILTER (WHERE config = 'R') AS "R_r_at_100" FROM m GROUP BY 1""",
 )
 def compare_configs(spark, sf):
-    return EV.compare_configs(summarise(spark, sf), ["A", "N"])
+    return EV.compare_configs(summarise(spark, sf), ["A", "N", "R"])
 
 
 @query(
@@ -344,7 +350,7 @@ def tune_weight(spark, sf):
 
 _TUNE = with_ctes("candidate_row", "concept", "prefix_all", extra={
     **QS._rank("collapsed"), **_GOLD,
-    "wt": "SELECT unnest([1.5, 1.0, 0.4, 0.0]::DOUBLE[]) AS weight",
+    "wt": f"SELECT unnest({[float(w) for w in A.WEIGHTS]}::DOUBLE[]) AS weight",
     "f0": """SELECT w.weight, coalesce(t.query_id, s.query_id) AS query_id, coalesce(t.code, s.code) AS code, coalesce(t.sort_order, s.sort_order) AS sort_order,
         coalesce(t.stem, s.stem) AS stem, list_concat(coalesce(t.variants, []), list_concat(coalesce([s.code], []), coalesce(s.variants, []))) AS others,
         coalesce(w.weight / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score
@@ -362,10 +368,10 @@ _TUNE = with_ctes("candidate_row", "concept", "prefix_all", extra={
     round(count(*) / CAST(any_value(n) AS DOUBLE), 6) AS r_at_100, round(sum(1.0::DOUBLE / rank) / any_value(n), 6) AS mrr FROM f3 CROSS JOIN nq GROUP BY weight""",
 )
 def tune_weight_fixed_rankings(spark, sf):
-    """Weight tuning over the line items' rankings, four weights."""
+    """Weight tuning over the line items' rankings."""
     text = V.materialise(R.collapse_variants(QS._ranked_lists(spark, sf, "text")), "fixed-text")
     semantic = V.materialise(R.collapse_variants(QS._ranked_lists(spark, sf, "semantic")), "fixed-semantic")
-    out = A.tune_weight(gold_queries(spark, sf), text, semantic, (1.5, 1.0, 0.4, 0.0)).where("weight is not null")
+    out = A.tune_weight(gold_queries(spark, sf), text, semantic).where("weight is not null")
     return out.select("list", "n", F.round("r_at_1", 6).alias("r_at_1"), F.round("r_at_100", 6).alias("r_at_100"), F.round("mrr", 6).alias("mrr"))
 
 
@@ -516,12 +522,13 @@ _BM25 = {
 @query(
     "bm25_rank",
     with_ctes(extra=_BM25) + """SELECT item_id, tf.doc_id, round(sum(ln(1 + ((SELECT count(*) FROM sz) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM sz)))), 5) AS score
-    FROM qt JOIN tf ON tf.token = qt.token JOIN df ON df.token = tf.token JOIN sz ON sz.doc_id = tf.doc_id GROUP BY 1, 2""",
+    FROM qt JOIN tf ON tf.token = qt.token JOIN df ON df.token = tf.token JOIN sz ON sz.doc_id = tf.doc_id GROUP BY 1, 2"""
+    .replace("SELECT item_id, tf.doc_id, round", "SELECT item_id, d.doc_id, score FROM (SELECT item_id, tf.doc_id, round") + ") s JOIN fold f ON f.doc_id = s.doc_id JOIN documents d ON d.text = f.text",
 )
 def bm25_rank(spark, sf):
-    """Benchmark passages against all distinct documents."""
+    """Benchmark passages against all documents; copies share their text's score."""
     queries, index = QS.benchmark_queries(spark, sf), QS.document_index(spark, sf)
     scored = O.bm25_rank(L.analyze_queries(queries, stem=False), index)
-    first = index.documents.select("source", "doc_id", F.col("first_row.row_id").alias("row_id"))
+    copies = index.rows.select("source", "doc_id", "row_id")
     ids = queries.select(F.col("query_id").cast("bigint").alias("item_id"), F.md5(F.regexp_replace("query", r"^\s+|\s+$", "")).alias("text_id"))
-    return scored.join(first, ["source", "doc_id"]).join(ids, "text_id").select("item_id", F.col("row_id").alias("doc_id"), F.round("score", 5).alias("score"))
+    return scored.join(copies, ["source", "doc_id"]).join(ids, "text_id").select("item_id", F.col("row_id").alias("doc_id"), F.round("score", 5).alias("score"))

@@ -353,11 +353,11 @@ def _stored_vectors(spark, sf):
                 row_number() OVER (PARTITION BY q.vec_id, c.source ORDER BY {_COSINE} DESC, c.sort_key, c.row_id) AS source_rank
                 FROM embeddings q CROSS JOIN c""",
     })
-    + "SELECT query_id, concept_id, round(score, 6) AS score, matched_on, source, source_rank FROM s WHERE source_rank <= 20",
+    + "SELECT query_id, concept_id, round(score, 6) AS score, matched_on, source, source_rank FROM s WHERE source_rank <= 200",
 )
 def semantic_candidates(spark, sf):
     queries, _ = _vectors(spark, sf)
-    found = E.semantic_candidates(queries, _stored_vectors(spark, sf), pool=20)
+    found = E.semantic_candidates(queries, _stored_vectors(spark, sf))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -509,9 +509,8 @@ def rank_method_semantic(spark, sf):
 
 @query("hybrid_search")
 def hybrid_search(spark, sf):
-    """Every held-out index term against the current release: the ten best hits of each."""
-    hits = S.hybrid_search(V.embedded_queries(spark, sf), V.release(spark, sf))
-    return _shown(hits.where("rank <= 10"))
+    """Every held-out index term against the current release."""
+    return _shown(S.hybrid_search(V.embedded_queries(spark, sf), V.release(spark, sf)))
 
 
 @query("retrieve")
@@ -553,5 +552,5 @@ def search(spark, sf):
         F.concat(F.lit("code-"), F.col("query_id").cast("string")).alias("query_id"), F.lower("prefix").alias("query")
     )
     asked = V.eval_queries(spark, sf).select("query_id", "query").unionByName(typed)
-    queries = S.embed_queries(asked, V.ENCODER, V.MODEL, V.DIMENSIONS)
+    queries = S.embed_queries(asked, V.ENCODER, V.MODEL, V.DIMENSIONS, V.INSTRUCTION)
     return _shown(S.search(queries, V.release(spark, sf)))

@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.catalog import views as V
@@ -28,22 +29,24 @@ def written(spark, sf, name, write):
 
 
 def order_text(spark, sf):
-    """Fixed-width lines of the current release, with a junk line per header."""
+    """Fixed-width lines of the current release, with a junk line per header, numbered from 1 in each of a category's files."""
     c = V.concepts(spark, sf)
-    number = F.lpad((F.col("sort_order") % 100000).cast("string"), 5, "0")
+    place = F.row_number().over(W.partitionBy("category").orderBy("sort_order"))
+    c = c.withColumn("_place", place).withColumn("part", F.floor((F.col("_place") - 1) / 99_999))
     line = F.concat(
-        number, F.lit(" "), F.rpad(undotted(F.col("code")), 7, " "), F.lit(" "), F.when(F.col("is_billable"), "1").otherwise("0"),
+        F.lpad(((F.col("_place") - 1) % 99_999 + 1).cast("string"), 5, "0"), F.lit(" "), F.rpad(undotted(F.col("code")), 7, " "), F.lit(" "), F.when(F.col("is_billable"), "1").otherwise("0"),
         F.lit(" "), F.rpad("short_display", 60, " "), F.lit(" "), F.when(F.col("is_billable"), F.col("display")).otherwise(F.lit("")),
     )
-    junk = c.where("not is_billable").select(F.concat(F.lit("note on "), "code").alias("value"))
-    return c.select(line.alias("value")).unionByName(junk)
+    junk = c.where("not is_billable").select("category", "part", F.concat(F.lit("note on "), "code").alias("value"))
+    return c.select("category", "part", line.alias("value")).unionByName(junk)
 
 
 def order_path(spark, sf):
-    return written(spark, sf, "order", lambda path: order_text(spark, sf).write.text(f"{path}/icd10cm-order-2027.txt"))
+    return written(spark, sf, "order", lambda path: order_text(spark, sf).write.partitionBy("category", "part").text(f"{path}/icd10cm-order-2027.txt"))
 
 
-_ORDER = """SELECT '2027' AS version, sort_order % 100000 AS sort_order, code, is_billable, short_display,
+_NUMBER = "(row_number() OVER (PARTITION BY category ORDER BY sort_order) - 1) % 99999 + 1"
+_ORDER = f"""SELECT '2027' AS version, {_NUMBER} AS sort_order, code, is_billable, short_display,
     CASE WHEN is_billable THEN display ELSE short_display END AS display FROM concept"""
 
 
@@ -97,13 +100,13 @@ _TABULAR = {
 
 @query("read_tabular_xml", with_ctes("concept", extra=_TABULAR) + "SELECT '2027' AS version, code, kind, ordinal, text FROM tab")
 def read_tabular_xml(spark, sf):
-    return RL.read_tabular_xml(RL.read_files(spark, tabular_path(spark, sf))).drop("path")
+    return RL.read_tabular_xml(RL.read_files(spark, tabular_path(spark, sf))).drop("path", "diag")
 
 
 @query(
     "tabular_entries",
     with_ctes("concept", extra=_TABULAR) + """SELECT code, coalesce(string_agg(text, '; ' ORDER BY ordinal) FILTER (WHERE kind = 'synonym'), '') AS synonyms,
-    count(*) FILTER (WHERE kind <> 'synonym') AS notes FROM tab GROUP BY 1""",
+    count(*) FILTER (WHERE kind <> 'synonym') AS notes FROM (SELECT DISTINCT code, kind, ordinal, text FROM tab) GROUP BY 1""",
 )
 def tabular_entries(spark, sf):
     entries = RL.tabular_entries(RL.read_tabular_xml(RL.read_files(spark, tabular_path(spark, sf))))
@@ -111,7 +114,7 @@ def tabular_entries(spark, sf):
     return entries.select("code", F.array_join("synonyms", "; ").alias("synonyms"), n.cast("bigint").alias("notes"))
 
 
-@query("load_release", with_ctes("concept", extra=_TABULAR) + """SELECT c.code, c.is_billable, c.sort_order % 100000 AS sort_order, t.code IS NOT NULL AS has_notes
+@query("load_release", with_ctes("concept", extra=_TABULAR) + f"""SELECT c.code, c.is_billable, {_NUMBER} AS sort_order, t.code IS NOT NULL AS has_notes
     FROM concept c LEFT JOIN (SELECT DISTINCT code FROM tab WHERE kind <> 'synonym') t ON t.code = c.code""")
 def load_release(spark, sf):
     order = RL.read_order_file(spark, order_path(spark, sf) + "/icd10cm-order-2027.txt")

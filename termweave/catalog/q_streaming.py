@@ -7,6 +7,7 @@ from termweave.catalog import views as V
 from termweave.catalog.q_sources import written
 from termweave.catalog.registry import query
 from termweave.catalog.sqlviews import with_ctes
+from termweave.operators import review as RV
 from termweave.session import scratch_path
 from termweave.streaming import jobs as J
 
@@ -64,7 +65,7 @@ def stream_review_state(spark, sf):
         billable = V.concepts(spark, sf).where("is_billable").select("code", F.lit(True).alias("is_billable"))
         needed = items.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("needed"))
         events = (
-            QC.review_events(spark, sf).join(billable, "code", "left").join(needed, "encounter_id")
+            RV.with_dotted_overrides(QC.review_events(spark, sf)).join(billable, "code", "left").join(needed, "encounter_id")
             .withColumn("is_billable", F.coalesce("is_billable", F.lit(False))).withColumn("coded", F.lit(True))
             .select("encounter_id", "item_id", F.col("seq").cast("bigint").alias("seq"), "kind", "code", "is_billable", "coded", "needed")
         )

@@ -20,7 +20,7 @@ from termweave.session import materialise, numbered
 MODEL = "hash-64"
 DIMENSIONS = 64
 ENCODER = semantic.hashing_encoder(DIMENSIONS)
-INSTRUCTION = "Instruct: Given a clinical phrase, retrieve the matching ICD-10-CM diagnosis\nQuery: "
+INSTRUCTION = "find the code whose description means: "
 CURRENT, PREVIOUS = "2027", "2026"
 HOLDOUT_PERCENT = 20
 
@@ -179,7 +179,7 @@ def release(spark: SparkSession, sf_dir: str) -> S.Release:
 
 
 def embedded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.embed_queries(eval_queries(spark, sf_dir), ENCODER, MODEL, DIMENSIONS)
+    return S.embed_queries(eval_queries(spark, sf_dir), ENCODER, MODEL, DIMENSIONS, INSTRUCTION)
 
 
 def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,20 @@ def score_search_rank(candidates: DataFrame, temperature: float = 1.0) -> DataFr
     return candidates.withColumn("w", weight).select("item_id", "code", (F.col("w") / total).alias("probability"))
 
 
+SEARCH_RANK = "search-rank"
+
+
+def decide_by_rank(items: DataFrame, candidates: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """C-06 as decisions of the built-in engine, with the columns of `score_with`; columns only, no Python."""
+    offered = candidates.join(items.select("item_id"), "item_id", "left_semi")
+    scored = score_search_rank(offered, temperature).groupBy("item_id").agg(F.collect_list(F.struct("code", "probability")).alias("probabilities"))
+    return scored.select(
+        "item_id", F.lit(SEARCH_RANK).alias("engine"), F.lit(f"exponential decay over search ranks, T = {temperature:g}").alias("model"),
+        F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("nota_probability"),
+        F.lit(None).cast("double").alias("cost"), F.lit(0.0).alias("latency_ms"), "probabilities",
+    )
+
+
 Scorer = Callable[[str, str, list[dict]], dict]
 OUTCOME = (
     "engine string, model string, status string, error string, nota_probability double, cost double, latency_ms double, "

@@ -299,15 +299,17 @@ def route_count(ranked: DataFrame, loaded: DataFrame) -> DataFrame:
     )
 
 
-def empty_result_rate(queries: DataFrame, hits: DataFrame, by: list[str]) -> DataFrame:
-    """E-20: per result list the number of queries without a single hit.
+def empty_result_rate(queries: DataFrame, hits: DataFrame, lists: Sequence[Mapping[str, str]]) -> DataFrame:
+    """E-20: per result list the number of queries without a single hit; `lists` as in `gold_rank`.
 
-    Only the lists' names and counts are joined, so nothing grows with queries times lists.
+    A list that answered nothing has a row too. Only names and counts are joined, so nothing grows with queries times lists.
     """
+    by = list(lists[0])
+    names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in one.items()]) for one in lists])
+    total = queries.agg(F.countDistinct("query_id").alias("queries")).select("queries", F.explode(names).alias("_l")).select("_l.*", "queries")
     answered = hits.groupBy(*by).agg(F.countDistinct("query_id").alias("answered"))
-    total = queries.agg(F.countDistinct("query_id").alias("queries")).withColumn("_one", F.lit(1))
     return (
-        answered.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+        total.join(answered, by, "left").withColumn("answered", F.coalesce("answered", F.lit(0)))
         .withColumn("empty", F.col("queries") - F.col("answered"))
         .withColumn("empty_rate", F.col("empty") / F.col("queries"))
     )

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from termweave.functions.codes import code_prefixes, to_dotted, variant_stem
 
 RELEASE = ["canonical_url", "version"]
-MAX_DEPTH = 6
 
 
 def concept_key(*cols: Column) -> Column:
@@ -55,26 +54,25 @@ def children(concepts: DataFrame) -> DataFrame:
     ).join(parents, [*RELEASE, "parent_code"], "left_semi")
 
 
-def ancestors(concepts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Closure over parent links: (code, ancestor, depth), the parent at depth 1."""
-    links = concepts.where("parent_code is not null").select(*RELEASE, "code", "parent_code")
-    step = links.select(*RELEASE, "code", F.col("parent_code").alias("ancestor"), F.lit(1).alias("depth"))
-    up = links.select(*RELEASE, F.col("code").alias("ancestor"), F.col("parent_code").alias("next"))
-    closure = step
-    for depth in range(2, max_depth + 1):
-        step = step.join(up, [*RELEASE, "ancestor"]).select(
-            *RELEASE, "code", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")
-        )
-        closure = closure.unionByName(step)
-    return closure
+def ancestors(concepts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """(code, ancestor, depth) with the parent at depth 1, however deep the codes are.
+
+    The ancestors of a code are its proper prefixes that exist, so one join gives all of them. `codes` (release, code)
+    limits whose ancestors are sought.
+    """
+    keys = concepts.select(*RELEASE, "code")
+    asked = keys if codes is None else keys.join(codes, [*RELEASE, "code"], "left_semi")
+    tried = asked.select(*RELEASE, "code", F.explode(code_prefixes(F.col("code"), proper=True)).alias("ancestor"))
+    nearest = W.partitionBy(*RELEASE, "code").orderBy(F.desc(F.length("ancestor")))
+    return tried.join(keys.withColumnRenamed("code", "ancestor"), [*RELEASE, "ancestor"]).withColumn("depth", F.row_number().over(nearest))
 
 
-def inherited_notes(concepts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def inherited_notes(concepts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """H-08: every ancestor that carries notes, nearest first by `depth`."""
     noted = concepts.where("notes is not null").select(
         *RELEASE, F.col("code").alias("ancestor"), F.col("display").alias("ancestor_display"), "notes"
     )
-    return ancestors(concepts, max_depth).join(noted, [*RELEASE, "ancestor"])
+    return ancestors(concepts, codes).join(noted, [*RELEASE, "ancestor"])
 
 
 def concept_detail(concepts: DataFrame, synonyms: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -100,8 +98,7 @@ def concept_detail(concepts: DataFrame, synonyms: DataFrame, lookups: DataFrame)
         .agg(F.sort_array(F.collect_set("synonym")).alias("synonyms"))
     )
     notes = (
-        inherited_notes(concepts)
-        .join(wanted, [*RELEASE, "code"], "left_semi")
+        inherited_notes(concepts, wanted)
         .groupBy(*RELEASE, "code")
         .agg(F.array_sort(F.collect_list(F.struct("depth", "ancestor", "ancestor_display", F.to_json("notes").alias("notes")))).alias("inherited"))
     )

@@ -104,7 +104,7 @@ def _signed(df: DataFrame, items: str, prefix: str) -> DataFrame:
     return bits.withColumns(X.signature_columns("_bits", prefix)).drop("_bits")
 
 
-def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True, similarity: bool = True) -> LexicalIndex:
+def build_postings(corpus: DataFrame, stem: bool = True, similarity: bool = True) -> LexicalIndex:
     """T-03: documents, rows, weighted postings and document frequencies of a corpus.
 
     `corpus`: source, row_id, concept_id, sort_key, sort_text, a (display or term), b, d.
@@ -122,15 +122,12 @@ def build_postings(corpus: DataFrame, pool: int = POOL, stem: bool = True, simil
         .withColumn("tokens", F.array_distinct(F.transform("entries", lambda e: e["token"])))
         .withColumn("grams", X.trigrams(F.col("a")) if similarity else F.array().cast("array<string>"))
         .withColumn("n_grams", F.size("grams"))
-        .withColumn("length", F.size("tokens"))
+        .withColumn("length", F.size("entries"))
     )
     documents = _signed(_signed(documents, "tokens", "word_sig"), "grams", "gram_sig")
     in_doc = W.partitionBy(*DOC).orderBy(order)
-    rows = (
-        keyed.withColumn("n", F.row_number().over(in_doc))
-        .where(F.col("n") <= pool)
-        .select(*DOC, "row_id", "concept_id", "sort_key", "sort_text")
-    )
+    # `place` is a row's position among the rows of its text; a top-`pool` pick reads only the first `pool` of them.
+    rows = keyed.select(*DOC, "row_id", "concept_id", "sort_key", "sort_text", F.row_number().over(in_doc).alias("place"))
 
     def exploded(kind: str, items: str, sig: str) -> DataFrame:
         return documents.select(
@@ -383,7 +380,7 @@ def _best_rows(scored: DataFrame, index: LexicalIndex, pool: int) -> DataFrame:
     docs = scored.withColumn("n", F.row_number().over(by_doc)).where(F.col("n") <= pool).drop("n", "first_row")
     by_row = W.partitionBy("text_id", "source").orderBy(F.desc("score"), "sort_key", "sort_text", "row_id")
     return (
-        docs.join(index.rows, DOC)
+        docs.join(index.rows.where(F.col("place") <= pool).drop("place"), DOC)
         .withColumn("source_rank", F.row_number().over(by_row))
         .where(F.col("source_rank") <= pool)
         .withColumn("matched_on", F.when(F.col("source") == INDEX_SOURCE, F.col("sort_text")))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termweave.functions.codes import to_dotted
+
 SCORING = ("scored", "failed", "no_candidates")
 REVIEWS = ("approve", "override", "remove")
 APPROVAL = "encounter.approve"
@@ -109,14 +111,21 @@ def final_code_misses(items: DataFrame, candidates: DataFrame) -> DataFrame:
     return finals.join(candidates.select("item_id", "code"), ["item_id", "code"], "left_anti")
 
 
+def with_dotted_overrides(events: DataFrame) -> DataFrame:
+    """Review events whose override codes have the stored form; a blank code is none."""
+    typed = to_dotted(F.col("code"))
+    return events.withColumn("code", F.when(F.col("kind") == "override", F.when(typed != "", typed)).otherwise(F.col("code")))
+
+
 def apply_reviews(items: DataFrame, events: DataFrame, billable: DataFrame, candidates: DataFrame) -> DataFrame:
     """V-07 and V-08 over history: every event with `accepted`, `reason`, `resolved` and what it sets.
 
     items: encounter_id, item_id, coded. events: encounter_id, item_id (NULL for an approval),
     seq (total order), kind, code, actor. billable: code. candidates: item_id, code.
+    The code of an override may come undotted and in lower case.
     """
     e = (
-        events.join(billable.select("code", F.lit(True).alias("is_billable")).distinct(), "code", "left")
+        with_dotted_overrides(events).join(billable.select("code", F.lit(True).alias("is_billable")).distinct(), "code", "left")
         .join(candidates.select("item_id", "code", F.lit(True).alias("in_candidates")).distinct(), ["item_id", "code"], "left")
         .join(items.select("item_id", "coded"), "item_id", "left")
     )

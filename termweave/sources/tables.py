@@ -30,22 +30,30 @@ def write_eval_set(queries: DataFrame, path: str) -> None:
     queries.select(*EVAL_SET.fieldNames()).write.mode("overwrite").json(path)
 
 
-def replace_release(rows: DataFrame, path: str, key: str, files: int = 32) -> None:
+def replace_release(rows: DataFrame, path: str, key: str, rows_per_file: int = 250_000) -> None:
     """IO-07, IO-08: the releases in `rows` replace their stored rows; other releases stay.
 
-    A release is spread over up to `files` files by a hash of `key`, so the largest release is
-    not written by one task. Atomic per table: write dependent tables first and switch the
-    release's `active` row last.
+    A release is spread by a hash of `key` over as many files as its rows need, so no task writes more than about
+    `rows_per_file`. Atomic per table: write dependent tables first and switch the release's `active` row last.
     """
+    names = [f"_release_{c}" for c in RELEASE]
+    parts = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(RELEASE, names)]).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(RELEASE, names)]
+    sized = rows.join(parts, same[0] & same[1])
     (
-        rows.repartition(*RELEASE, F.pmod(F.xxhash64(key), F.lit(files)))
+        sized.repartition(*RELEASE, F.pmod(F.xxhash64(key), F.col("_files"))).drop(*names, "_files")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RELEASE).parquet(path)
     )
 
 
 def upsert_code_system(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """IO-09: insert by (url, version); a known release keeps its id and creation time and becomes active."""
-    new = incoming.select(*RELEASE, *[F.col(c).alias(f"new_{c}") for c in ("name", "title", "publisher", "updated_at")])
+    """IO-09: insert by (url, version); a known release keeps its id and creation time and becomes active.
+
+    Of several incoming rows of a release the latest counts, then the last by name, title and publisher.
+    """
+    fields = ("updated_at", "name", "title", "publisher")
+    latest = incoming.groupBy(*RELEASE).agg(F.max(F.struct(*fields)).alias("new"))
+    new = latest.select(*RELEASE, *[F.col(f"new.{c}").alias(f"new_{c}") for c in fields])
     both = stored.join(new, RELEASE, "full_outer")
     known, hit = F.col("id").isNotNull(), F.col("new_updated_at").isNotNull()
     return both.select(
@@ -58,8 +66,11 @@ def upsert_code_system(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def append_if_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """IO-10: the incoming rows whose key is not stored, one per key."""
-    return incoming.join(stored.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    """IO-10: the incoming rows whose key is not stored, one per key: the first by its columns as JSON."""
+    fresh = incoming.join(stored.select(*keys), keys, "left_anti")
+    row = F.struct(*incoming.columns)
+    first = fresh.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return first.select("_row.*")
 
 
 def append_eval_results(stored: DataFrame, rerun: DataFrame) -> DataFrame:

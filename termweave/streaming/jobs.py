@@ -119,7 +119,7 @@ def review_states(events: DataFrame) -> DataFrame:
     """ST-03: the current review state per encounter (closed_at is -1 while open).
 
     events: encounter_id, item_id, seq, kind, code, is_billable, coded, needed - the batch
-    replay's events joined to the static tables. State is one small record per encounter.
+    replay's events (through `review.with_dotted_overrides`) joined to the static tables. State is one small record per encounter.
     """
     return events.groupBy("encounter_id").applyInPandasWithState(
         _fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import coding as C
 from termweave.operators import review as RV
-from termweave.plans.intake import search_rank_scorer
+from termweave.plans import intake
 
 
 def lines(spark, docs):
@@ -81,7 +81,7 @@ def test_scorers(spark):
         def score(note, text, options):
             if text == "boom":
                 raise RuntimeError("exploded")
-            return search_rank_scorer()(note, text, options)
+            return {"model": "halving", "probabilities": {o["code"]: 0.5 ** o["search_rank"] for o in options}}
         return score
 
     made = {r.item_id: r for r in C.score_with(items, candidates, {"x": broken}, "x").collect()}
@@ -91,6 +91,19 @@ def test_scorers(spark):
         C.score_with(items, candidates, {"x": broken}, "y")
 
 
+def test_built_in_engine_and_repeats(spark):
+    candidates = spark.createDataFrame([(1, "C1", 1), (1, "C2", 2), (2, "C3", 1)], "item_id int, code string, search_rank int")
+    made = C.decide_by_rank(spark.createDataFrame([(1,)], "item_id int"), candidates).collect()
+    assert len(made) == 1 and made[0].status == "succeeded"
+    assert {p.code for p in made[0].probabilities} == {"C1", "C2"} and abs(sum(p.probability for p in made[0].probabilities) - 1) < 1e-9
+
+    rows = [("b", "x", []), ("a", "x", []), ("a", "x", []), ("c", "y", []), ("d", "z", ["bad"]), ("e", "w", [])]
+    checked = spark.createDataFrame(rows, "value string, id string, violations array<string>").select("value", F.struct(F.col("id").alias("encounter_id")).alias("e"), "violations")
+    stored = spark.createDataFrame([("y",), ("y",)], "encounter_id string")
+    got = sorted((r.value, tuple(r.violations)) for r in intake.refuse_repeats(checked, stored).collect())
+    assert got == [("a", ()), ("a", ()), ("b", ("encounter id repeated in the batch",)), ("c", ("encounter id is stored already",)), ("d", ("bad",)), ("e", ())]
+
+
 def test_mentions(spark):
     notes = spark.createDataFrame([("e", "Fever, high FEVER (a+b) and fever chills", ["fever", "fever chills", "a+b", "x"])], "encounter_id string, note string, texts array<string>")
     got = [(r.mention, r.start) for r in C.note_mentions(notes).orderBy("start").collect()]
@@ -164,3 +177,13 @@ def test_replay_equals_one_by_one(spark):
         got.setdefault(r.encounter_id, {})[r.seq] = r.reason
     for k, reasons in want.items():
         assert [got[k][i] for i in range(len(reasons))] == reasons, k
+
+
+def test_override_codes_are_dotted_first(spark):
+    items = spark.createDataFrame([("e", 1, True)], "encounter_id string, item_id int, coded boolean")
+    rows = [("e", 1, 1, "scored", "Q10.1", "m"), ("e", 1, 2, "override", " q1012", "m"), ("e", 1, 3, "override", " ", "m")]
+    events = spark.createDataFrame(rows, "encounter_id string, item_id int, seq int, kind string, code string, actor string")
+    billable = spark.createDataFrame([("Q10.12",)], "code string")
+    candidates = spark.createDataFrame([(1, "Q10.12")], "item_id int, code string")
+    got = {r.seq: (r.accepted, r.reason, r.final_code, r.in_candidates) for r in RV.apply_reviews(items, events, billable, candidates).collect()}
+    assert got[2] == (True, None, "Q10.12", True) and got[3][1] == "override without code"

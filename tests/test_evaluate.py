@@ -38,3 +38,10 @@ def test_overlap(spark):
     df = spark.createDataFrame([("acute acute pain", "Acute thing"), ("the of", "x")], "query string, target string")
     got = [(round(r.overlap, 4), r.overlap_bucket) for r in EV.lexical_overlap(df).collect()]
     assert got == [(0.6667, "partial"), (0.0, "low")]
+
+
+def test_a_list_that_answers_nothing_has_a_row(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    hits = spark.createDataFrame([(1, "a")], "query_id int, list string")
+    got = {r["list"]: (r.answered, r.empty) for r in EV.empty_result_rate(queries, hits, [{"list": "a"}, {"list": "b"}]).collect()}
+    assert got == {"a": (1, 1), "b": (0, 2)}

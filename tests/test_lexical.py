@@ -83,7 +83,7 @@ def test_all_words_equals_brute_force(spark):
 
 def test_candidates_keep_copies_and_fill_the_pool(spark):
     rows, asked = corpus(spark), queries(spark)
-    index = L.build_postings(rows, pool=5)
+    index = L.build_postings(rows)
     got = L.text_candidates(asked, index, pool=5)
     per = got.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("source_rank").alias("r"), F.countDistinct("source_rank").alias("d"))
     assert all(r.n <= 5 and r.n == r.r == r.d for r in per.collect())
@@ -137,3 +137,16 @@ def test_plans_have_no_nested_loop(spark):
 def test_pool_is_cut_before_the_shuffle(spark):
     plan = L.text_candidates(queries(spark), L.build_postings(corpus(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_every_copy_of_a_text_is_a_match(spark):
+    rows = spark.createDataFrame(
+        [(0, i, i, i, f"{i:05}", "copper lantern copper", "", "") for i in range(300)],
+        "source int, row_id long, concept_id long, sort_key long, sort_text string, a string, b string, d string")
+    index = L.build_postings(rows, stem=False)
+    asked = spark.createDataFrame([("q", "lantern")], "query_id string, query string")
+    matched = L.match_all_words(L.analyze_queries(asked, stem=False), index).join(index.rows, ["source", "doc_id"])
+    assert matched.count() == 300
+    assert L.text_candidates(asked, index, pool=500, stem=False).count() == 300
+    assert L.text_candidates(asked, index, pool=7, stem=False).count() == 7
+    assert index.documents.first().length == 3  # a repeated word counts

@@ -33,4 +33,4 @@ def test_against_sql(spark, con, sf, name):
 
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
-    assert rows and max(r["rank"] for r in rows) <= 10
+    assert rows and min(r["rank"] for r in rows) == 1 and max(r["rank"] for r in rows) > 10

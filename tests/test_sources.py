@@ -79,3 +79,25 @@ def test_release_errors(spark):
     index = spark.createDataFrame([("2030",)], "version string")
     with pytest.raises(ValueError, match="differ"):
         TB.raise_on_errors(TB.check_release(order, tabular, index, index))
+
+
+def test_last_filled_list_and_last_diag_count(spark):
+    text = b"""<X><version>2030</version><diag><name>Q11.0</name>
+<sevenChrDef><extension char="A">first</extension></sevenChrDef><sevenChrDef><extension char="B"> </extension></sevenChrDef></diag>
+<diag><name>Q12</name><includes><note>old</note></includes></diag><diag><name>Q12</name><includes><note>new</note></includes></diag></X>"""
+    got = {r.code: (r.synonyms, r.notes) for r in RL.tabular_entries(RL.read_tabular_xml(members(spark, text))).collect()}
+    assert got == {"Q11.0": ([], {"seventh_character": ["A: first"]}), "Q12": (["new"], {})}
+
+
+def test_upsert_takes_the_latest_of_repeated_rows(spark):
+    columns = "canonical_url string, version string, name string, title string, publisher string, updated_at long"
+    incoming = spark.createDataFrame([("u", "1", "n", "old", "p", 1), ("u", "1", "n", "new", "p", 2)], columns)
+    stored = spark.createDataFrame([], "id long, " + columns.replace("updated_at long", "active boolean, created_at long, updated_at long"))
+    rows = TB.upsert_code_system(stored, incoming).collect()
+    assert [(r.title, r.updated_at) for r in rows] == [("new", 2)]
+
+
+def test_first_of_repeated_keys_is_stored(spark):
+    incoming = spark.createDataFrame([("k", "b"), ("k", "a"), ("s", "x")], "key string, v string")
+    stored = spark.createDataFrame([("s", "y")], "key string, v string")
+    assert [tuple(r) for r in TB.append_if_absent(stored, incoming, ["key"]).collect()] == [("k", "a")]
