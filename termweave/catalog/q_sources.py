@@ -192,18 +192,24 @@ def read_index_xml(spark, sf):
     return rows.select("version", F.array_join("path", " ").alias("term"), "depth", "code", "see")
 
 
-@query("index_load", with_ctes("concept", "part_code", extra={
+@query("index_load", with_ctes("concept_all", "part_code", extra={
     "n": _INDEX,
     "d": "SELECT term, replace(code, '.-', '') AS code, depth, FALSE AS via_see FROM n WHERE code IS NOT NULL",
     "s": """SELECT n.term, d.code, n.depth, TRUE AS via_see FROM n JOIN d ON replace(n.see, ',', '') = regexp_replace(replace(d.term, ',', ''), '^[a-z]+ ', '') WHERE n.code IS NULL""",
     "t": "SELECT * FROM d UNION ALL SELECT * FROM s"})
-    + """SELECT c.concept_id, t.code, t.term, min(t.depth) AS depth, bool_and(t.via_see) AS via_see FROM t JOIN concept c ON c.code = t.code
-    WHERE CAST('0x' || substr(sha1(trim(regexp_replace(replace(lower(term), ',', ' '), '\\s+', ' ', 'g'))), 1, 8) AS BIGINT) % 100 >= 20 GROUP BY 1, 2, 3""")
+    + """SELECT c.version, c.concept_id, t.code, t.term, min(t.depth) AS depth, bool_and(t.via_see) AS via_see FROM t JOIN concept_all c ON c.code = t.code
+    WHERE CAST('0x' || substr(sha1(trim(regexp_replace(replace(lower(term), ',', ' '), '\\s+', ' ', 'g'))), 1, 8) AS BIGINT) % 100 >= 20 GROUP BY 1, 2, 3, 4""")
 def index_load(spark, sf):
-    """Index XML to loaded terms."""
-    nodes = RL.read_index_xml(RL.read_files(spark, index_path(spark, sf)))
+    """Index XML of two releases to loaded terms, in one pass."""
+
+    def earlier(path):
+        value = F.replace("value", F.lit("<version>2027"), F.lit("<version>2026"))
+        index_documents(spark, sf).withColumn("value", value).write.partitionBy("p_name").text(path)
+
+    files = RL.read_files(spark, index_path(spark, sf)).unionByName(RL.read_files(spark, written(spark, sf, "index-2026", earlier)))
     document_order = F.struct("path_name", "ordinal")
-    return IX.index_load(nodes.withColumn("ordinal", document_order), V.concepts(spark, sf), V.HOLDOUT_PERCENT)
+    nodes = RL.read_index_xml(files).withColumn("ordinal", document_order)
+    return IX.index_load(nodes, V.concepts(spark, sf, None), V.HOLDOUT_PERCENT)
 
 
 # ── stored tables ──

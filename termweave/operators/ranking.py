@@ -58,15 +58,16 @@ def expand_to_billable(merged: DataFrame, expansion: DataFrame) -> DataFrame:
         )
     )
     reached = F.when(F.col("is_billable"), itself).otherwise(F.col("children"))
+    # Rows are placed by query while each still carries its children in one array; the wide table is never shuffled.
     rows = (
         merged.join(children, F.col("code") == F.col("category"), "left")
+        .repartition("query_id")
         .select("query_id", "score", "matched_on", "is_billable", F.col("rank").alias("via"), F.explode(reached).alias("c"))
         .select(
             "query_id", F.col("c.child_id").alias("concept_id"), F.col("c.child_code").alias("code"),
             F.col("c.child_order").alias("sort_order"), (F.col("score") - EXPAND_DECAY * F.col("c.i")).alias("score"),
             "matched_on", "is_billable", "via",
         )
-        .repartition("query_id")
     )
     best = F.max_by(F.struct("score", "matched_on"), F.struct(F.col("score"), F.col("is_billable"), -F.col("via")))
     out = (

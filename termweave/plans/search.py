@@ -105,11 +105,14 @@ def build_release(
 def embed_queries(
     queries: DataFrame, encoder_factory: Callable[[], semantic.Encoder], model: str, dimensions: int, instruction: str = ""
 ) -> DataFrame:
-    """Adds `embedding` to (query_id, query); a text asked many times is encoded once."""
+    """Adds `embedding` to (query_id, query); a text asked many times is encoded once.
+
+    The result is written, because searches read it several times and count it to size their blocks.
+    """
     texts = semantic.query_instruction(queries.select("query").distinct(), instruction)
     todo = texts.select(F.lit(-1).alias("source"), F.col("query").alias("row_id"), "text")
     vectors = semantic.embed_batches(todo, model, encoder_factory, dimensions)
-    return queries.join(vectors.select(F.col("row_id").alias("query"), "embedding"), "query")
+    return materialise(queries.join(vectors.select(F.col("row_id").alias("query"), "embedding"), "query"), "embedded-queries")
 
 
 def rank_candidates(rows: DataFrame, release: Release, options: SearchOptions) -> DataFrame:

@@ -1,5 +1,9 @@
+"""Ranking operators against a second, plain formulation over random tables."""
+
+import random
+from collections import defaultdict
+
 import pytest
-from pyspark.sql import functions as F
 
 from termweave.operators import ranking as R
 
@@ -9,64 +13,124 @@ EXPANSION = "category string, child_id long, child_code string, child_order int,
 HITS = "query_id int, rank int, concept_id long, code string, sort_order int, score double, matched_on string, variants array<string>"
 
 
-def hits(spark, rows):
-    return spark.createDataFrame(rows, HITS)
-
-
-def test_merge_keeps_best_score_and_its_source(spark):
-    rows = spark.createDataFrame(
-        [(1, 1, 0.4, None, 0, 1), (1, 1, 0.9, "Variola", 1, 1), (1, 2, 0.5, None, 0, 2), (1, 99, 1.0, "gone", 1, 2)], ROWS)
-    concepts = spark.createDataFrame([(1, "B03", True, 1), (2, "L41.0", True, 2)], CONCEPTS)
-    got = [(r.code, r.score, r.matched_on) for r in R.merge_candidates(rows, concepts).orderBy("rank").collect()]
-    assert got == [("B03", 0.9, "Variola"), ("L41.0", 0.5, None)]
-
-
-def test_merge_tie_prefers_the_code_text(spark):
-    rows = spark.createDataFrame([(1, 1, 0.9, "term", 1, 1), (1, 1, 0.9, None, 0, 7)], ROWS)
-    concepts = spark.createDataFrame([(1, "B03", True, 1)], CONCEPTS)
-    assert R.merge_candidates(rows, concepts).first().matched_on is None
-
-
-def test_expand_replaces_a_category_and_keeps_an_own_better_score(spark):
-    rows = spark.createDataFrame([(1, 1, 0.6, "Fracture", 1, 1), (1, 11, 0.95, None, 0, 1)], ROWS)
-    concepts = spark.createDataFrame([(1, "S72.9", False, 100), (10, "S72.90XA", True, 101), (11, "S72.91XA", True, 102)], CONCEPTS)
-    expansion = spark.createDataFrame([("S72.9", 10, "S72.90XA", 101, 0), ("S72.9", 11, "S72.91XA", 102, 1)], EXPANSION)
-    got = R.expand_to_billable(R.merge_candidates(rows, concepts), expansion).orderBy("rank").collect()
-    assert [(r.code, r.score, r.matched_on) for r in got] == [("S72.91XA", 0.95, None), ("S72.90XA", 0.6, "Fracture")]
-
-
-def test_collapse_lists_siblings(spark):
-    ranked = spark.createDataFrame(
-        [(1, 1, "S72.92XD", 5, 0.9, None, True, 1), (1, 2, "K35.30", 2, 0.8, None, True, 2), (1, 3, "S72.92XA", 4, 0.7, None, True, 3)],
-        "query_id int, concept_id long, code string, sort_order int, score double, matched_on string, is_billable boolean, rank int")
-    got = [(r.code, r.variants) for r in R.collapse_variants(ranked).orderBy("rank").collect()]
-    assert got == [("S72.92XD", ["S72.92XA"]), ("K35.30", [])]
-
-
-def test_fuse_meets_on_the_stem(spark):
-    t = hits(spark, [(1, 1, 3, "K35.30", 3, 1.0, None, []), (1, 2, 1, "S72.92XA", 1, 0.5, None, [])])
-    s = hits(spark, [(1, 1, 2, "S72.92XD", 2, 0.9, "Fracture", ["S72.92XS"])])
-    first = R.rrf_fuse(t, s).orderBy("rank").first()
-    assert (first.code, first.text_rank, first.semantic_rank, first.matched_on) == ("S72.92XA", 2, 1, None)
-    assert first.variants == ["S72.92XD", "S72.92XS"]
-    assert first.score == pytest.approx(1 / 62 + 1 / 61)
-
-
-def test_fuse_weights_and_order_invariance(spark):
-    t = hits(spark, [(1, 1, 1, "A00.0", 1, 1.0, None, [])])
-    s = hits(spark, [(1, 1, 2, "B00.0", 2, 1.0, None, [])])
-    assert R.rrf_fuse(t, s).orderBy("rank").first().code == "A00.0"
-    lower = R.rrf_fuse(t, s, text_weight=0.5).orderBy("rank").collect()
-    assert [r.code for r in lower] == ["B00.0", "A00.0"] and lower[1].score == 0.5 / 61
-
-
-def test_uncollapsed_fuse_does_not_reward_variants(spark):
-    rows = [(1, 1, 9, "I21.9", 9, 1.0, None, [])] + [(1, i + 1, i, f"S26.00X{e}", i, 1.0, None, []) for i, e in ((1, "A"), (2, "D"), (3, "S"))]
-    fused = R.rrf_fuse(hits(spark, rows), hits(spark, rows), by_stem=False).orderBy("rank").collect()
-    assert fused[0].code == "I21.9" and len(fused) == 4 and all(not r.variants for r in fused)
-
-
-def test_ranking_plans_have_no_nested_loop(spark):
-    t = hits(spark, [(1, 1, 1, "A00.0", 1, 1.0, None, [])])
-    plan = R.rrf_fuse(t, t.withColumn("rank", F.col("rank") + 1))._jdf.queryExecution().executedPlan().toString()
+def leaf(k):
+    return f"G{k // 9:02d}.{k // 3 % 3}00{'MNP'[k % 3]}"
+
+
+def stem(code):
+    return code[:-1] if len(code.replace(".", "")) == 7 else code
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    """Leaves in families of three, a category per nine of them, and rows that point at both or at nothing."""
+    pick = random.Random(17)
+    concepts = [(k, leaf(k), True, 100 + 2 * k) for k in range(45)] + [(200 + c, f"G{c:02d}", False, 90 + c) for c in range(5)]
+    expansion = [(f"G{c:02d}", k, leaf(k), 100 + 2 * k, i) for c in range(5) for i, k in enumerate(range(9 * c, 9 * c + 4))]
+    rows = []
+    for q in range(6):
+        for place in range(1, 30):
+            target = pick.choice([pick.randrange(45), 200 + pick.randrange(5), 999])
+            rows.append((q, target, pick.randrange(1, 9) / 8, pick.choice([None, "alias"]), place % 2, place))
+    return rows, concepts, expansion
+
+
+def plain_merge(rows, concepts):
+    known = {c[0]: c for c in concepts}
+    best = {}
+    for q, cid, score, matched, source, place in rows:
+        if cid in known and ((q, cid) not in best or (score, -source, -place) > best[q, cid][0]):
+            best[q, cid] = ((score, -source, -place), matched)
+    out = defaultdict(list)
+    for (q, cid), ((score, *_), matched) in best.items():
+        out[q].append((-score, known[cid][3], known[cid][1], cid, score, matched, known[cid][2]))
+    return {q: sorted(v, key=lambda x: x[:3]) for q, v in out.items()}
+
+
+def by_query(df, *columns):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r.query_id].append(tuple(r[c] for c in columns))
+    return dict(out)
+
+
+def test_merge(spark, world):
+    rows, concepts, _ = world
+    merged = R.merge_candidates(spark.createDataFrame(rows, ROWS), spark.createDataFrame(concepts, CONCEPTS))
+    want = {q: [(x[2], x[4], x[5]) for x in v] for q, v in plain_merge(rows, concepts).items()}
+    assert by_query(merged, "code", "score", "matched_on") == want
+
+
+def test_expand(spark, world):
+    rows, concepts, expansion = world
+    merged = plain_merge(rows, concepts)
+    want = {}
+    for q, found in merged.items():
+        best = {}
+        for via, (_, order, code, cid, score, matched, billable) in enumerate(found, 1):
+            reached = [(cid, code, order, 0)] if billable else [e[1:] for e in expansion if e[0] == code]
+            for child, child_code, child_order, i in reached:
+                key = (score - R.EXPAND_DECAY * i, billable, -via)
+                if child not in best or key > best[child][0]:
+                    best[child] = (key, child_code, child_order, matched)
+        want[q] = [(code, matched) for (k, code, order, matched) in sorted(best.values(), key=lambda v: (-round(v[0][0], 9), v[2], v[1]))]
+    got = R.expand_to_billable(
+        R.merge_candidates(spark.createDataFrame(rows, ROWS), spark.createDataFrame(concepts, CONCEPTS)), spark.createDataFrame(expansion, EXPANSION))
+    assert by_query(got, "code", "matched_on") == want
+
+
+def random_hits(seed):
+    pick = random.Random(seed)
+    return [(q, place + 1, k, leaf(k), 100 + 2 * k, 1 - place / 20, pick.choice([None, f"n{seed}"])) for q in range(6) for place, k in enumerate(pick.sample(range(27), 12))]
+
+
+def plain_collapse(hits):
+    out = defaultdict(dict)
+    for q, rank, cid, code, order, score, matched in hits:
+        out[q].setdefault(stem(code), []).append((rank, code, matched))
+    return {q: [(m[0][1], [x[1] for x in m[1:]], m[0][2]) for m in sorted((sorted(v) for v in families.values()))] for q, families in out.items()}
+
+
+def collapsed(spark, hits):
+    ranked = spark.createDataFrame([(*h, True) for h in hits], HITS.replace("variants array<string>", "is_billable boolean"))
+    return R.collapse_variants(ranked)
+
+
+def test_collapse(spark):
+    hits = random_hits(1)
+    assert by_query(collapsed(spark, hits), "code", "variants", "matched_on") == plain_collapse(hits)
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.25])
+def test_fuse(spark, weight):
+    sides = [random_hits(2), random_hits(3)]
+    text, semantic = (plain_collapse(s) for s in sides)
+    order = {leaf(k): 100 + 2 * k for k in range(27)}
+    want = {}
+    for q in text:
+        t = {stem(c): (rank, c, v, m) for rank, (c, v, m) in enumerate(text[q], 1)}
+        s = {stem(c): (rank, c, v, m) for rank, (c, v, m) in enumerate(semantic[q], 1)}
+        rows = []
+        for key in t.keys() | s.keys():
+            score = (weight / (R.RRF_K + t[key][0]) if key in t else 0) + (1 / (R.RRF_K + s[key][0]) if key in s else 0)
+            _, code, variants, matched = t.get(key) or s[key]
+            if key in t and key in s:
+                variants = variants + [c for c in [s[key][1], *s[key][2]] if c != code and c not in variants]
+            rows.append((-round(score, 12), order[code], code, variants, matched, t.get(key, [None])[0], s.get(key, [None])[0]))
+        want[q] = [tuple(r[2:]) for r in sorted(rows, key=lambda r: r[:3])]
+    fused = R.rrf_fuse(*(collapsed(spark, s) for s in sides), text_weight=weight)
+    assert by_query(fused, "code", "variants", "matched_on", "text_rank", "semantic_rank") == want
+
+
+def test_fuse_by_code_keeps_family_members_apart(spark):
+    rows = [(0, k + 1, k, leaf(k), k, 1.0, None, []) for k in (0, 1, 2, 9)]
+    hits = spark.createDataFrame([(q, n + 1, *rest) for n, (q, _, *rest) in enumerate(rows)], HITS)
+    fused = R.rrf_fuse(hits, hits, by_stem=False).collect()
+    assert len(fused) == 4 and not any(r.variants for r in fused)
+
+
+def test_ranking_plans_have_no_nested_loop(spark, world):
+    rows, concepts, expansion = world
+    merged = R.merge_candidates(spark.createDataFrame(rows, ROWS), spark.createDataFrame(concepts, CONCEPTS))
+    plan = R.expand_to_billable(merged, spark.createDataFrame(expansion, EXPANSION))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
