@@ -44,10 +44,10 @@ def embedding_text(concepts: DataFrame, synonyms: DataFrame) -> DataFrame:
 def pending_rows(
     rows: DataFrame, embeddings: DataFrame, model: str, order: list[str], limit: int | None = None
 ) -> DataFrame:
-    """S-02: rows without a vector of `model`, in order; `limit` is the caller's trial size."""
+    """S-02: rows without a vector of `model`; with `limit`, the caller's trial size, the first ones by `order`."""
     done = embeddings.where(F.col("model") == model).select("source", "row_id")
-    todo = rows.join(done, ["source", "row_id"], "left_anti").orderBy(*order)
-    return todo if limit is None else todo.limit(limit)
+    todo = rows.join(done, ["source", "row_id"], "left_anti")
+    return todo if limit is None else todo.orderBy(*order).limit(limit)
 
 
 def done_count(rows: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
