@@ -210,7 +210,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", options: J
 
     first = named.join(groups.select(F.col("gid").alias("id"), "n", "p1", "p2"), ["id", "n", "p1", "p2"], "left_semi")
     postings = first.select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("token"))
-    ends = postings.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high")
+    # Written, so that the join shuffles both of its sides and Spark can split a hot token.
+    ends = written(postings.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high").select("token", "low"), "op9-ends")
     shared = written(postings.join(ends, "token").select("token", "gid", "n", "low"), "op9-shared")
 
     sizes = groups.select("gid", "n")
@@ -243,7 +244,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", options: J
         own.select("gid", F.col("rep").alias("v"), F.col("comp").alias("comp2"), "top"), "gid").filter("comp1 <> comp2 AND (comp2 = top OR comp1 < comp2)").select("u", "v")
     more = written(across.union(within).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "op9-more")
-    for table in (shared, mixed, units, groups, pairs):
+    for table in (ends, shared, mixed, units, groups, pairs):
         discard(table)
     if not more.isEmpty():
         extra = verified(more, classes, docs, key, text, options)

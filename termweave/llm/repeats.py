@@ -136,9 +136,12 @@ def _starts(blocks: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _ties(rows: DataFrame, bucket: list[str], name: str) -> DataFrame:
-    """The buckets with two rows or more, and whether they hold different names; partial counts first."""
+    """The buckets with two rows or more, and whether they hold different names; partial counts first.
+
+    Written, so that joins on it shuffle both of their sides and Spark can split a hot bucket.
+    """
     ends = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.min(name).alias("a"), F.max(name).alias("b"))
-    return ends.filter("n > 1").select(*bucket, (F.col("a") != F.col("b")).alias("mixed"))
+    return written(ends.filter("n > 1").select(*bucket, (F.col("a") != F.col("b")).alias("mixed")), "op10-ties")
 
 
 def repeated_starts(bodies: DataFrame, length: int) -> DataFrame:
