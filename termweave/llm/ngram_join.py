@@ -9,7 +9,7 @@ hash, with frequent tokens last; how many tokens count as frequent only moves wo
    first. Its links are contracted to components.
 4. The second round takes all candidates that the first left in different components: pairs of (group, component) under a
    common token, the largest component of a token never against itself. A pair needs enough common prefix tokens for the
-   sizes of its sets. What passes is expanded to members and verified on whole sets.
+   sizes of its sets, so it meets under one that is early enough in both prefixes; then the prefixes are compared. What passes is expanded to members and verified on whole sets.
 
 So a group of near copies costs a star, not all its pairs, and no link between different components is lost.
 
@@ -170,6 +170,11 @@ def _common_prefix_tokens(n1: Column, n2: Column, percent: int) -> Column:
     return F.greatest(_need(n1, n2, percent) - F.greatest(rest(n1), rest(n2)), F.lit(1))
 
 
+def _prefix_column(n: Column, percent: int) -> Column:
+    """`prefix_size` of a column."""
+    return n - F.ceil(n * percent / F.lit(100) - 1e-9) + 1
+
+
 def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
@@ -209,10 +214,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", options: J
     members = classes.filter("open").join(groups, ["n", "p1", "p2"]).select("gid", "rep", "n", "classes")
 
     first = named.join(groups.select(F.col("gid").alias("id"), "n", "p1", "p2"), ["id", "n", "p1", "p2"], "left_semi")
-    postings = first.select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("token"))
+    postings = first.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     # Written, so that the join shuffles both of its sides and Spark can split a hot token.
     ends = written(postings.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high").select("token", "low"), "op9-ends")
-    shared = written(postings.join(ends, "token").select("token", "gid", "n", "low"), "op9-shared")
+    shared = written(postings.join(ends, "token").select("token", "gid", "n", "pos", "low"), "op9-shared")
 
     sizes = groups.select("gid", "n")
     stars = shared.filter("gid <> low").groupBy("gid", "low", "n").agg(F.count("*").alias("common"))
@@ -225,17 +230,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", options: J
 
     units = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "n", "classes", F.coalesce("component", "rep").alias("comp"))
     units = written(units, "op9-units")
-    posted = shared.select("token", "gid").join(units.select("gid", "n", "comp").distinct(), "gid")
+    posted = shared.select("token", "gid", "pos").join(units.select("gid", "n", "comp").distinct(), "gid")
     sides = posted.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
     mixed = written(posted.join(sides.filter("comps > 1").select("token", F.col("top.comp").alias("major")), "token"), "op9-mixed")
-    a = mixed.filter("comp <> major").select("token", *[F.col(c).alias(f"{c}1") for c in ("gid", "comp", "n")])
-    b = mixed.select("token", "major", *[F.col(c).alias(f"{c}2") for c in ("gid", "comp", "n")])
+    a = mixed.filter("comp <> major").select("token", *[F.col(c).alias(f"{c}1") for c in ("gid", "comp", "n", "pos")])
+    b = mixed.select("token", "major", *[F.col(c).alias(f"{c}2") for c in ("gid", "comp", "n", "pos")])
+    # Prefixes with `least` common tokens share one that is in both before the last `least - 1`.
+    least = _common_prefix_tokens(F.col("n1"), F.col("n2"), percent)
+    early = (F.col("pos1") <= _prefix_column(F.col("n1"), percent) - least) & (F.col("pos2") <= _prefix_column(F.col("n2"), percent) - least)
     crossed = a.join(b, "token").filter(
-        "comp1 <> comp2 AND (comp2 = major OR comp1 < comp2)").filter(_sizes_fit(F.col("n1"), F.col("n2"), percent))
+        "comp1 <> comp2 AND (comp2 = major OR comp1 < comp2)").filter(_sizes_fit(F.col("n1"), F.col("n2"), percent) & early)
     crossed = crossed.select(
         *[F.when(F.col("comp1") < F.col("comp2"), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for i in (1, 2) for c in ("gid", "comp", "n")])
-    candidates = crossed.groupBy("gid1", "comp1", "n1", "gid2", "comp2", "n2").agg(F.count("*").alias("common")).filter(
-        F.col("common") >= _common_prefix_tokens(F.col("n1"), F.col("n2"), percent))
+    prefix = lambda i: first.select(F.col("id").alias(f"gid{i}"), F.col("prefix").alias(f"prefix{i}")).dropDuplicates([f"gid{i}"])
+    paired = crossed.distinct().join(prefix(1), "gid1").join(prefix(2), "gid2")
+    candidates = paired.filter(F.size(F.array_intersect("prefix1", "prefix2")) >= least).select("gid1", "comp1", "gid2", "comp2")
     member = lambda i: units.select(F.col("gid").alias(f"gid{i}"), F.col("comp").alias(f"comp{i}"), F.col("rep").alias(f"rep{i}"))
     across = candidates.join(member(1), ["gid1", "comp1"]).join(member(2), ["gid2", "comp2"]).select(F.col("rep1").alias("u"), F.col("rep2").alias("v"))
     # Members of one group in different components: those outside the first member's component against all.
