@@ -166,17 +166,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, divisor: int, held_out: int) -> DataFrame:
-    """doc_id, text and label of the rows that may be learned from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(remainder("doc_id", divisor) != held_out)
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")), "doc_id")
-
-
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every whole text, learned from four folds of five."""
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic", 5, 0))
     docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
     scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

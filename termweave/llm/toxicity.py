@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import texts
+from termweave.llm.common import texts, written
 
 WINDOW, OVERLAP = 96, 16
 GAINS = 7
@@ -123,16 +123,31 @@ def _chosen(strings: list[bytes], limit: int) -> list[bytes]:
     return taken
 
 
-def fit(rows: DataFrame, sample: Sample = Sample()) -> Model | None:
-    """Learn from rows of doc_id, text and label (0 or 1); None without both classes."""
-    usable = rows.filter(F.col("label").isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= sample.text_bytes)).select("doc_id", "text", "label")
+def _drawn(docs: DataFrame, labels: DataFrame, sample: Sample) -> DataFrame | None:
+    """The sampled rows as a written table: label, text and whether they make the dictionaries; None without both classes.
+
+    Ids are drawn from the labels alone, so that only the few drawn ones meet the texts.
+    """
+    usable = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
     if set(sizes) != {0, 1}:
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(0.5, sample.documents / sizes[1])).otherwise(min(0.5, sample.documents / sizes[0]))
-    making = usable.filter(place < share).select("label", "text")
-    calibrating = usable.filter((place >= 0.5) & (place < 0.5 + share)).select("label", "text")
+    ids = usable.select("doc_id", "label", (place < 0.5).alias("making"), place.alias("place"), share.alias("share"))
+    ids = ids.filter(F.when(F.col("making"), F.col("place")).otherwise(F.col("place") - 0.5) < F.col("share")).select("doc_id", "label", "making").distinct()
+    bodies = docs.filter(F.octet_length("text") <= sample.text_bytes).select("doc_id", "text")
+    found = bodies.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "label"])  # about 4 x sample.documents ids, a text of each
+    return written(found.select("label", "making", "text"), "op8-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model | None:
+    """Learn from docs (doc_id, text) and labels (doc_id, label 0 or 1); None without both classes."""
+    drawn = _drawn(docs, labels, sample)
+    if drawn is None:
+        return None
+    making = drawn.filter("making").select("label", "text")
+    calibrating = drawn.filter("NOT making").select("label", "text")
 
     shown = {r["label"]: r["n"] for r in making.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(1, shown.get(1, 0)), max(1, shown.get(0, 0))
@@ -140,6 +155,7 @@ def fit(rows: DataFrame, sample: Sample = Sample()) -> Model | None:
     pooled = (F.col("a") + F.col("b")) / float(n0 + n1)
     score = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-9)
     scored = counts.filter(F.col("a") + F.col("b") >= sample.least_documents).select("string", (F.col("a") + F.col("b")).alias("n"), F.round(score, 9).alias("z"))
+    scored = written(scored, "op8-strings")
 
     def first(order: Column, rows: DataFrame) -> list[bytes]:
         top = rows.orderBy(order, F.desc(F.octet_length("string")), "string").limit(sample.strings).collect()  # bounded by the sample
@@ -156,7 +172,7 @@ def fit(rows: DataFrame, sample: Sample = Sample()) -> Model | None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([_features(gains(t, *both)) for t in texts(batch, "text")], pa.list_(pa.float64()))], names=["label", "x"])
 
-    seen = calibrating.repartition(usable.sparkSession.sparkContext.defaultParallelism).mapInArrow(measure, "label int, x array<double>").toPandas()  # bounded by the sample
+    seen = calibrating.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(measure, "label int, x array<double>").toPandas()  # bounded by the sample
     if seen["label"].nunique() < 2:
         return None
     x, y = np.array(seen["x"].tolist()), seen["label"].to_numpy(float)

@@ -80,13 +80,14 @@ def toxic_rows(n, seed):
 
 
 def test_toxicity_of_held_out_rows(spark, odd, none):
-    model = toxicity.fit(spark.createDataFrame(toxic_rows(600, 3), "doc_id long, text string, label int"))
+    known = spark.createDataFrame(toxic_rows(600, 3), "doc_id long, text string, label int")
+    model = toxicity.fit(known.drop("label"), known.drop("text"))
     held = spark.createDataFrame(toxic_rows(200, 4), "doc_id long, text string, label int").withColumn("score", toxicity.toxicity(F.col("text"), model)).collect()
     assert np.mean([(r["score"] >= 0.5) == r["label"] for r in held]) >= 0.97
     scores = [r["s"] for r in odd.select(toxicity.toxicity(F.col("text"), model).alias("s")).collect()]
     assert len(scores) == len(odd_rows()) and all(0 <= s <= 1 for s in scores)
     one_class = spark.createDataFrame([(1, "a b c", 0)], "doc_id long, text string, label int")
-    assert toxicity.fit(one_class) is None and toxicity.fit(one_class.filter("false")) is None
+    assert toxicity.fit(one_class, one_class) is None and toxicity.fit(one_class, one_class.filter("false")) is None
     assert none.select(toxicity.toxicity(F.col("text"), model)).count() == 0
     assert {r["s"] for r in odd.select(toxicity.toxicity(F.col("text"), None).alias("s")).collect()} == {0.0}
 
