@@ -162,6 +162,40 @@ def test_odd_rows_leak(spark, odd, none):
     assert latent.leaks(none, items).count() == 0 and latent.leaks(odd, items.filter("false")).count() == 0
 
 
+def test_short_items_are_found_at_every_offset(spark):
+    """Items of 15 words with 11 of them left, at offsets that no window of 24 words starts at."""
+    items = [(k, prose(3000 + k, 15)) for k in range(60)]
+    pick, rows = random.Random(4), []
+    for k, text in items:
+        words = text.split()
+        for place in pick.sample(range(12), 4):
+            words[place] = "changed"
+        rows.append((k, f"{prose(7000 + k, 60 + k)} {' '.join(words)} {prose(8000 + k, 90)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in latent.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(60)}
+
+
+def test_words_find_what_brute_force_finds():
+    pick = random.Random(6)
+    items = [tuple(pick.randrange(40) for _ in range(pick.randrange(8, 25))) for _ in range(12)]
+    words = tuple(b"w%d" % k for k in range(40))
+    space = latent.Space(words, np.zeros((41, 1), np.float32), tuple(range(12)), tuple(items), tuple(max(1, len(i) // 4) for i in items),
+                         np.zeros((12, 1), np.float32), np.array([pick.random() for _ in words]))
+    own, leaks = latent.Matcher(space, latent.Options()), 0
+    for _ in range(60):
+        ids = [pick.randrange(41) for _ in range(pick.randrange(0, 60))]
+        ids += [w for w in pick.choice(items) if pick.random() < 0.75] + [40] * pick.randrange(0, 30)
+        want = set()
+        for i in range(12):
+            reach = int(own.reach[i])
+            if any(own._common(i, ids[s : s + reach]) for s in range(len(ids))):
+                want.add(i)
+        assert {i for i, _, _ in own.by_words(np.array(ids, np.int32))} == want
+        leaks += len(want)
+    assert leaks > 40
+
+
 def test_common_subsequence_counts():
     def plain(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
