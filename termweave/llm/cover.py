@@ -53,7 +53,11 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if not places:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    return tuple(map(np.concatenate, (places, lows, highs, hashes)))
+    place, low, high, found = map(np.concatenate, (places, lows, highs, hashes))
+    # An anchor that serves starts on both sides of a pass border is one.
+    changed = place[1:] != place[:-1]
+    first, last = np.concatenate([[True], changed]), np.concatenate([changed, [True]])
+    return place[first], low[first], high[last], found[first]
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:

@@ -144,3 +144,31 @@ def test_anchors_follow_the_string():
             first = distances
         assert distances == first
         assert all(0 <= d <= 200 - GRAM for d in distances)
+
+
+BORDER = (1 << 20) - 200
+
+
+def test_anchors_do_not_see_pass_borders():
+    text = (prose(14, 2 * BORDER // 8) + " " * 400).encode()[: 2 * BORDER + 150]
+    place, low, high, names = anchors(text, 200)
+    assert len(set(place.tolist())) == len(place) and list(low[1:]) == list(high[:-1] + 1)
+    for border in (BORDER, 2 * BORDER):
+        begin = border - 3000
+        near = {(int(p), int(a), int(b), int(n)) for p, a, b, n in zip(place, low, high, names, strict=True) if border - 1000 <= p <= border + 1000 and b < len(text) - 200}
+        alone = {(int(p) + begin, int(a) + begin, int(b) + begin, int(n)) for p, a, b, n in zip(*anchors(text[begin : border + 3000], 200), strict=True)}
+        assert len(near) > 1 and near <= alone
+
+
+def test_repeats_at_a_pass_border(spark):
+    """200 bytes that start at offsets near a border, each in a long text of its own, and again in a short one."""
+    filler = np.random.default_rng(8).integers(97, 123, BORDER + 900, np.uint8).tobytes()
+    starts = [BORDER + d for d in (-169, -120, -80, -60, -40, -20, -10, -1, 0, 1, 10, 20, 40, 60, 80, 120, 168)]
+    salt = [np.random.default_rng(100 + k).permutation(np.arange(97, 123, dtype=np.uint8)) for k in range(len(starts))]
+    rows = []
+    for k, s in enumerate(starts):
+        text = salt[k][np.frombuffer(filler, np.uint8) - 97].tobytes()
+        rows += [(2 * k, text.decode()), (2 * k + 1, "0" + text[s : s + 200].decode() + "1" + prose(4000 + k, 30))]
+    done, into = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n"], r["size"]) for r in done.selectExpr("doc_id", f"{into}.n_removed AS n", f"{into}.n_bytes AS size").collect()}
+    assert got == {i: (200, len(t)) for i, t in rows}
