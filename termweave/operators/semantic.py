@@ -20,6 +20,8 @@ BATCH = 64
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 20_000
 INNER_BLOCK = 256
+ANN_SAMPLE = 4096
+ANN_QUERIES = 512
 
 
 def embedding_text(concepts: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -212,25 +214,58 @@ def knn_topk(
     return _keep_best(cells.applyInPandas(_cell_topk(k), _cell_schema(queries, corpus)), k, ["query_id"])
 
 
+def _unit_pivots(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of unit rows from the first `lists` of them; a pivot without members stays."""
+    pivots = sample[:lists].copy()
+    for _ in range(rounds):
+        at = np.argmax(sample @ pivots.T, axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, at, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(norms > 0, sums / np.where(norms == 0, 1.0, norms), pivots)
+    return pivots
+
+
+def _probes_for(asked: np.ndarray, sample: np.ndarray, pivots: np.ndarray, k: int, recall: float) -> int:
+    """The fewest lists per query that hold `recall` of the exact `k` neighbours in the sample.
+
+    Neighbours in a sample are farther away than those in the corpus, so this errs to more lists.
+    """
+    lists = np.argmax(sample @ pivots.T, axis=1)
+    near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ pivots.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel()) + 1
+    return int(needed[math.ceil(recall * len(needed)) - 1])
+
+
 def ann_topk(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = POOL,
     lists: int = 64,
-    probes: int = 8,
+    probes: int | None = None,
     query_block: int = QUERY_BLOCK,
     corpus_block: int = CORPUS_BLOCK,
+    recall: float = 0.95,
 ) -> DataFrame:
     """S-07: approximate top `k`: an inverted file over `lists` pivots, `probes` lists per query.
 
-    The pivots are the `lists` corpus vectors of smallest hash, a fixed number whatever the
-    corpus. Filters belong on `corpus` before the call, so no result is lost to them. A list
+    The pivots are fitted to the ANN_SAMPLE corpus vectors of smallest hash, a fixed number whatever
+    the corpus; `probes`, if not given, is the least that reaches `recall` for a sample of the
+    queries among these vectors. Filters belong on `corpus` before the call, so no result is lost to them. A list
     with many vectors is split into cells of `corpus_block`, and a list many queries probe into
     cells of `query_block`.
     """
     spark = corpus.sparkSession
-    chosen = corpus.select("row_id", "embedding").orderBy(F.xxhash64("row_id"), "row_id").limit(lists).collect()
-    pivots = spark.sparkContext.broadcast(_matrix(pd.Series([r["embedding"] for r in chosen])))
+    chosen = corpus.select("row_id", "embedding").orderBy(F.xxhash64("row_id"), "row_id").limit(max(lists, ANN_SAMPLE)).collect()
+    if not chosen:
+        return knn_topk(queries, corpus, k, query_block, corpus_block)
+    sample = _matrix(pd.Series([r["embedding"] for r in chosen]))
+    fitted = _unit_pivots(sample, lists)
+    if probes is None:
+        some = queries.select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(ANN_QUERIES).collect()
+        probes = _probes_for(_matrix(pd.Series([r["embedding"] for r in some])), sample, fitted, k, recall) if some else 1
+    pivots = spark.sparkContext.broadcast(fitted)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(vectors: pd.Series, many: pd.Series) -> pd.Series:

@@ -33,6 +33,23 @@ def test_ann_with_all_lists_is_exact(spark):
     assert {tuple(r) for r in E.ann_topk(q, c, 5, lists=6, probes=6, query_block=4, corpus_block=5).collect()} == exact
 
 
+def test_ann_reaches_its_recall(spark):
+    v = np.random.default_rng(3).normal(size=(1500, 32)).astype("float32")
+    c = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "row_id long, sort_key long, embedding array<float>")
+    q = c.where("row_id % 10 = 0").selectExpr("row_id AS query_id", "embedding")
+    assert E.ann_recall(E.knn_topk(q, c, 10), E.ann_topk(q, c, 10)).first().recall >= 0.9
+    assert E.ann_topk(q, c.where("false"), 10).count() == 0 and E.ann_topk(q.where("false"), c, 10).count() == 0
+
+
+def test_registered_recall_measures_the_registered_search(spark):
+    from termweave.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    exact, found = ({(r.query_id, r.row_id) for r in QUERIES[n](spark, sf).collect()} for n in ("knn_topk", "ann_topk"))
+    row = QUERIES["ann_recall"](spark, sf).first()
+    assert (row.neighbours, row.found) == (len(exact), len(exact & found)) and row.recall >= 0.9
+
+
 def test_encoder_contract(spark):
     rows = spark.createDataFrame([("code", i, f"text {i}") for i in range(130)], "source string, row_id long, text string")
     made = E.embed_batches(rows, "m", E.hashing_encoder(16), 16).collect()
