@@ -176,6 +176,14 @@ def test_short_items_are_found_at_every_offset(spark):
     assert got == {(k, k) for k in range(60)}
 
 
+def test_the_sample_holds_a_text_once(spark):
+    heavy = [prose(9000 + k, 20) for k in range(40)]
+    docs = spark.createDataFrame([(t,) for t in heavy * 50 + [prose(k, 20) for k in range(1000)] + [None]], "text string")
+    got = [r["text"] for r in latent.sampled(docs, "text", latent.Options(sample_documents=300)).collect()]
+    assert len(got) == len(set(got)) and 200 < len(got) < 400
+    assert latent.sampled(docs, "text", latent.Options()).count() == 1040
+
+
 def test_words_find_what_brute_force_finds():
     pick = random.Random(6)
     items = [tuple(pick.randrange(40) for _ in range(pick.randrange(8, 25))) for _ in range(12)]
