@@ -277,7 +277,7 @@ def embed_batches(spark, sf):
 
 @query(
     "query_instruction",
-    with_ctes("eval_query") + "SELECT query_id, 'Instruct: Given a clinical phrase, retrieve the matching ICD-10-CM diagnosis' || chr(10) || 'Query: ' || query AS text FROM eval_query",
+    with_ctes("eval_query") + f"SELECT query_id, '{V.INSTRUCTION}' || query AS text FROM eval_query",
 )
 def query_instruction(spark, sf):
     return E.query_instruction(V.eval_queries(spark, sf), V.INSTRUCTION).select("query_id", "text")
@@ -304,14 +304,14 @@ _COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.em
 
 @query(
     "knn_topk",
-    f"""SELECT query_id, row_id, round(score, 6) AS score, rank FROM (
+    f"""SELECT query_id, row_id, score, rank FROM (
     SELECT q.vec_id AS query_id, c.vec_id AS row_id, {_COSINE} AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, c.vec_id) AS rank FROM embeddings q CROSS JOIN embeddings c) WHERE rank <= 10""",
 )
 def knn_topk(spark, sf):
     """The ten nearest vectors of every vector."""
     queries, corpus = _vectors(spark, sf)
-    return E.knn_topk(queries, corpus, 10).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+    return E.knn_topk(queries, corpus, 10).select("query_id", "row_id", "score", "rank")
 
 
 def _approximate(spark, sf):
@@ -357,12 +357,11 @@ def _stored_vectors(spark, sf):
                 row_number() OVER (PARTITION BY q.vec_id, c.source ORDER BY {_COSINE} DESC, c.sort_key, c.row_id) AS source_rank
                 FROM embeddings q CROSS JOIN c""",
     })
-    + "SELECT query_id, concept_id, round(score, 6) AS score, matched_on, source, source_rank FROM s WHERE source_rank <= 200",
+    + "SELECT query_id, concept_id, score, matched_on, source, source_rank FROM s WHERE source_rank <= 200",
 )
 def semantic_candidates(spark, sf):
     queries, _ = _vectors(spark, sf)
-    found = E.semantic_candidates(queries, _stored_vectors(spark, sf))
-    return found.withColumn("score", F.round("score", 6))
+    return E.semantic_candidates(queries, _stored_vectors(spark, sf))
 
 
 # ── ranking ──
