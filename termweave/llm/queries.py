@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, lang_id, latent, ngram_join, repeats, token_counts, toxicity, warc
+from termweave.llm import bpe, lang_id, latent, mixing, ngram_join, prefix_trie, repeats, spelling, token_counts, toxicity, warc
 from termweave.llm import host_rules as HR
 from termweave.llm import rule_ensemble as RE
 from termweave.llm.common import remainder, written
@@ -213,3 +213,118 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item that a document leaks, verbatim or paraphrased."""
     found = latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", F.col("common").alias("common_words"), F.col("words").alias("item_words"), F.round("cosine", 4).alias("cosine"))
+
+
+def _mixing_sql(mix: mixing.Mix) -> str:
+    """Sizes, weights and keys as DuckDB states them; the level is found among the sources in order of size per weight."""
+    shares = ", ".join(f"{s}::DOUBLE" for s in mix.shares)
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
+         greatest(length(translate(coalesce(text, ''), '{mixing.UNUSUAL}', '')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, {mixing.LEAST_WEIGHT}) AS weight
+  FROM documents),
+keyed AS (
+  SELECT *, -ln((('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / {2**52}::DOUBLE) / weight AS key FROM sized),
+sources AS (SELECT source, sum(size)::DOUBLE AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, [{shares}][1 + place % {len(mix.shares)}] AS w FROM sources),
+ranked AS (
+  SELECT *, ({mix.volume}::DOUBLE * sum(s) OVER () - {mix.most} * coalesce(sum(s) OVER before, 0)) / sum(w) OVER rest AS level
+  FROM weighed WINDOW before AS (ORDER BY s / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      rest AS (ORDER BY s / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+levels AS (SELECT min_by(level, s / w) AS level FROM ranked WHERE w * level <= {mix.most} * s),
+goals AS (SELECT source, s::BIGINT AS source_size, least({mix.most} * s, w * coalesce((SELECT level FROM levels), 0)) AS target FROM weighed),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM goals),
+along AS (
+  SELECT k.doc_id, k.size, g.source_size, g.target, g.epochs, floor(g.target) - g.epochs * g.source_size AS rest,
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id::VARCHAR, k.size ROWS UNBOUNDED PRECEDING) - k.size AS start
+  FROM keyed k JOIN plan g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(least(size, rest - start), 0))::BIGINT AS taken FROM along
+"""
+
+
+@query(_mixing_sql(mixing.Mix()))
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: weights 5, 2, 1, one and a half times all words, two epochs at most."""
+    docs = table(spark, sf_dir, "documents")
+    rows, into = mixing.mixed(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")), keep=["doc_id"])
+    return rows.select("doc_id", *[F.col(f"{into}.{c}") for c in ("size", "source_size", "target", "taken")])
+
+
+#: CRC-32 by its polynomial: the table from its rule, then one step per byte of a list of byte values.
+_CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+
+
+def _crc32_sql(octets: str, lookup: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, {lookup}[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+@query(f"""
+WITH lookup AS (SELECT {_CRC_TABLE_SQL} AS t),
+ordered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS p, {_crc32_sql("list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)", "t")} % 9 AS h
+          FROM (SELECT DISTINCT c FROM ordered), lookup),
+shared AS (SELECT v.c, o.pos, o.role, o.text FROM convs v JOIN ordered o ON o.c = v.p AND o.pos <= v.h),
+counted AS (SELECT v.c, v.h, count(s.pos) AS k FROM convs v LEFT JOIN shared s ON s.c = v.c GROUP BY v.c, v.h),
+rebuilt AS (SELECT * FROM shared UNION ALL SELECT o.c, k.k + o.pos - k.h, o.role, o.text FROM ordered o JOIN counted k ON o.c = k.c AND o.pos > k.h),
+prefixes AS (SELECT c, pos AS depth, octet_length(encode(text)) AS bytes, list([role, text]) OVER (PARTITION BY c ORDER BY pos) AS path FROM rebuilt),
+nodes AS (
+  SELECT depth, path, min(c) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM prefixes GROUP BY depth, path
+  UNION ALL SELECT 0, []::VARCHAR[][], min(c), count(*), 0 FROM convs HAVING count(*) > 0),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+valued AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n.n - 1) * n.bytes AS saved FROM nodes n LEFT JOIN kids k USING (path)),
+behind AS (
+  SELECT path[1:d] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM valued) GROUP BY 1),
+tips AS (SELECT c, max(depth) AS depth FROM prefixes GROUP BY c),
+ends AS (
+  SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (
+    SELECT p.c, p.path FROM prefixes p JOIN tips t ON p.c = t.c AND p.depth = t.depth
+    UNION ALL SELECT c, []::VARCHAR[][] FROM convs WHERE c NOT IN (SELECT c FROM tips)) GROUP BY path)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM valued v JOIN behind b USING (path) LEFT JOIN ends e USING (path) LEFT JOIN nodes u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1]
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the head its group shares."""
+    turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "op12-turns")
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
+#: One code point in this many occurrences is lost, by the digest of document and run.
+WEAR = 199
+
+
+def _spelling_sql(options: spelling.Spelling) -> str:
+    """Words by deletion and wildcard patterns in place of chunks."""
+    octets = "list_transform(range(1, octet_length(encode(x)) + 1), lambda i: ('0x' || substr(hex(encode(x)), 2 * i - 1, 2))::BIGINT)"
+    return f"""
+WITH RECURSIVE lookup AS (SELECT {_CRC_TABLE_SQL} AS t),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUN}')) AS run FROM documents),
+marked AS (SELECT run, n, {_crc32_sql(octets, "t")} AS h
+           FROM (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS x, run, count(*) AS n FROM found GROUP BY 1, 2), lookup),
+worn AS (SELECT CASE WHEN h % {WEAR} = 0 THEN substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) ELSE run END AS word, n FROM marked),
+words AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS m FROM worn WHERE length(word) >= {options.least_length} GROUP BY word HAVING sum(n) >= {options.least_count}),
+cuts AS (SELECT word, n, m, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS other, y.n AS k FROM cuts x JOIN cuts y ON x.m = y.m AND x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON y.word = x.a || x.b),
+best AS (SELECT word, count(*) AS n_near, max(k) AS top FROM pairs GROUP BY word),
+chosen AS (SELECT p.word, b.n_near, b.top, min(p.other) AS other FROM pairs p JOIN best b ON p.word = b.word AND p.k = b.top GROUP BY p.word, b.n_near, b.top),
+judged AS (SELECT w.word, w.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN c.top >= {options.ratio} * w.n THEN c.other END AS form,
+                  CASE WHEN c.top >= {options.ratio} * w.n THEN c.top END AS form_n FROM words w LEFT JOIN chosen c ON c.word = w.word),
+chain(word, reached) AS (SELECT word, word FROM judged UNION SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.reached WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, c.reached AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN chain c ON c.word = j.word JOIN judged e ON e.word = c.reached AND e.form IS NULL
+"""
+
+
+@query(_spelling_sql(spelling.Spelling()))
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of the worn runs of all texts."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run"))
+    words = found.select(spelling.worn(F.col("doc_id"), F.col("run"), WEAR).alias("word"))
+    return spelling.variants(spelling.word_counts(words, "word", spelling.Spelling()))
