@@ -1,14 +1,19 @@
 """Toxicity by compression distance: windows of a text are compressed with a dictionary of each class.
 
-Two zstandard dictionaries are made from labelled text. Both end with the same common strings; before these stand the strings
-that are far more frequent in the documents of one class (word beginnings, by a two-proportion score over documents). A
-window that the toxic dictionary shortens more holds such strings. How often a text's windows gain 1, 2, ... bytes is turned
-into a score by a logistic calibration on labelled documents that did not make the dictionaries.
+Two zstandard dictionaries are made from labelled text, each from the documents of its class. That of ordinary text holds
+its most frequent strings (word beginnings). That of toxic text holds the same and, before them, the strings that are far more
+frequent in toxic documents (by a two-proportion score over documents); the other has blanks in their place, so that both are
+of one size and a common string costs the same in both. A window that the toxic dictionary shortens more holds toxic strings.
+How often a text's windows of two sizes gain 1, 2, ... bytes is turned into a score by a logistic calibration on labelled
+documents that did not make the dictionaries; both classes weigh the same in it, so that 0.5 is where a text is as likely
+under one class as under the other, however rare the toxic class is.
 
-Learning reads a bounded sample (`Sample`) with counts summed by Spark; scoring compresses every window of every whole text.
+Learning reads a bounded sample (`Sample`) with counts summed by Spark; of a text longer than `text_bytes` it reads a stretch
+drawn by its hash. Scoring compresses every window of every whole text.
 
 Defined results: null and empty texts are one blank window; without labels of both classes every score is 0. Rows are
-scored in place: repeated rows, null ids and extra columns need no care. A label that is null is no label.
+scored in place: repeated rows, null ids and extra columns need no care. A label that is null is no label; of different texts
+under one id the one of smallest hash is learned.
 """
 
 from __future__ import annotations
@@ -25,19 +30,21 @@ from pyspark.sql import types as T
 
 from termweave.llm.common import texts, written
 
-WINDOW, OVERLAP = 96, 16
+#: Bytes of a window, and how many of them the next one repeats.
+WINDOWS = ((48, 12), (96, 16))
 GAINS = 7
 
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of learning: documents of each class for the dictionaries and again for the calibration, bytes of a document
-    that may be drawn, strings that come back to the driver, and the sizes of the parts of a dictionary."""
+    """Bounds of learning: documents of each class for the dictionaries and again for the calibration, bytes read of a
+    document, strings that come back to the driver, and the sizes of the parts of a dictionary. Both parts together stay
+    below the compression window of 16 KiB; `own_bytes` holds some 500 strings, all that reach `least_score` in practice."""
 
     documents: int = 2500
     text_bytes: int = 1 << 16
     strings: int = 20_000
-    own_bytes: int = 640
+    own_bytes: int = 8192
     common_bytes: int = 1500
     least_documents: int = 8
     least_score: float = 6.0
@@ -78,34 +85,42 @@ def _compressors(toxic: bytes, ordinary: bytes):
     import zstandard as z
 
     shape = z.ZstdCompressionParameters(
-        window_log=14, hash_log=11, chain_log=12, search_log=3, min_match=3, target_length=24, strategy=z.STRATEGY_BTOPT,
+        window_log=14, hash_log=12, chain_log=12, search_log=3, min_match=4, target_length=24, strategy=z.STRATEGY_GREEDY,
         format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
     return [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=shape).compress for d in (toxic, ordinary)]
 
 
-def gains(text: bytes, toxic, ordinary) -> np.ndarray:
-    """By how many bytes the toxic dictionary beats the ordinary one, for each window of the whole text."""
+def gains(text: bytes, toxic, ordinary) -> list[np.ndarray]:
+    """By how many bytes the toxic dictionary beats the ordinary one, for the windows of each size of the whole text."""
     padded = b" " + text.lower() + b" "
-    windows = [padded[i : i + WINDOW] for i in range(0, max(1, len(padded) - OVERLAP), WINDOW - OVERLAP)]
-    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows])
+    found = []
+    for size, overlap in WINDOWS:
+        windows = [padded[i : i + size] for i in range(0, max(1, len(padded) - overlap), size - overlap)]
+        found.append(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows]))
+    return found
 
 
-def _features(gain: np.ndarray) -> list[float]:
-    n = len(gain)
-    over = np.array([(gain >= k).sum() for k in range(1, GAINS + 1)])
-    return [*np.log((over + 0.3) / (n + 1)), *np.log1p(over[2:]), min(float(gain.max()), 10.0), float(gain.mean()), float(np.log(n)), float((gain <= -2).mean())]
+def _features(both: list[np.ndarray]) -> list[float]:
+    out: list[float] = []
+    for gain in both:
+        n = len(gain)
+        over = np.array([(gain >= k).sum() for k in range(1, GAINS + 1)])
+        out += [*np.log((over + 0.3) / (n + 1)), *np.log1p(over[2:]), min(float(gain.max()), 10.0), float(gain.mean()), float(np.log(n)), float((gain <= -2).mean())]
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (the first is the offset) of a ridge logistic regression by Newton's steps, and the scaling."""
+    """Weights (the first is the offset) of a ridge logistic regression by Newton's steps, and the scaling; the classes weigh
+    the same."""
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     a = np.c_[np.ones(len(x)), (x - centre) / scale]
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (p - y) + penalty @ w)
+        w -= np.linalg.solve((a * (each * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (each * (p - y)) + penalty @ w)
     return w, centre, scale
 
 
@@ -136,9 +151,13 @@ def _drawn(docs: DataFrame, labels: DataFrame, sample: Sample) -> DataFrame | No
     share = F.when(F.col("label") == 1, min(0.5, sample.documents / sizes[1])).otherwise(min(0.5, sample.documents / sizes[0]))
     ids = usable.select("doc_id", "label", (place < 0.5).alias("making"), place.alias("place"), share.alias("share"))
     ids = ids.filter(F.when(F.col("making"), F.col("place")).otherwise(F.col("place") - 0.5) < F.col("share")).select("doc_id", "label", "making").distinct()
-    bodies = docs.filter(F.octet_length("text") <= sample.text_bytes).select("doc_id", "text")
-    found = bodies.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "label"])  # about 4 x sample.documents ids, a text of each
-    return written(found.select("label", "making", "text"), "op8-sample")
+    spare = F.greatest(F.length("text") - sample.text_bytes, F.lit(0))
+    stretch = F.substring("text", (F.pmod(F.xxhash64("text"), spare + 1) + 1).cast("int"), F.lit(sample.text_bytes))
+    bodies = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    found = bodies.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "making", F.xxhash64("text").alias("place"), stretch.alias("text"))
+    # about 4 x sample.documents ids, a text of each
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("place", "text", "making")).alias("first"))
+    return written(one.select("label", "first.making", "first.text"), "op8-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model | None:
@@ -154,18 +173,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model
     counts = making.mapInArrow(_count, "string binary, ordinary bigint, toxic bigint").groupBy("string").agg(F.sum("ordinary").alias("a"), F.sum("toxic").alias("b"))
     pooled = (F.col("a") + F.col("b")) / float(n0 + n1)
     score = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-9)
-    scored = counts.filter(F.col("a") + F.col("b") >= sample.least_documents).select("string", (F.col("a") + F.col("b")).alias("n"), F.round(score, 9).alias("z"))
+    scored = counts.filter(F.col("a") + F.col("b") >= sample.least_documents).select("string", F.col("a").alias("n"), F.round(score, 9).alias("z"))
     scored = written(scored, "op8-strings")
 
     def first(order: Column, rows: DataFrame) -> list[bytes]:
         top = rows.orderBy(order, F.desc(F.octet_length("string")), "string").limit(sample.strings).collect()  # bounded by the sample
         return [bytes(r["string"]) for r in top]
 
-    own = _chosen(first(F.desc("z"), scored.filter(F.col("z") >= sample.least_score)), sample.own_bytes)
-    other = _chosen(first(F.asc("z"), scored.filter(F.col("z") < 0)), sample.own_bytes)
-    common = b"".join(reversed(_chosen(first(F.desc("n"), scored.filter(F.abs("z") < sample.least_score)), sample.common_bytes)))
-    size = max(64, len(b"".join(own)), len(b"".join(other)))
-    toxic, ordinary = (b"".join(reversed(part)).rjust(size) + common.rjust(64) for part in (own, other))
+    own = b"".join(reversed(_chosen(first(F.desc("z"), scored.filter(F.col("z") >= sample.least_score)), sample.own_bytes)))
+    common = b"".join(reversed(_chosen(first(F.desc("n"), scored.filter(F.abs("z") < sample.least_score)), sample.common_bytes))).rjust(64)
+    toxic, ordinary = own.rjust(64) + common, b"".rjust(max(64, len(own))) + common
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _compressors(toxic, ordinary)
