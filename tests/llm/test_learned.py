@@ -95,8 +95,57 @@ def test_toxicity_of_held_out_rows(spark, odd, none):
 def test_gains_cover_the_whole_text():
     both = toxicity._compressors(b" nitwit blockhead".rjust(64) + b" the of and", b" quiet river".rjust(64) + b" the of and")
     late = prose(5, 3000) + " nitwit blockhead"
-    assert toxicity.gains(late.encode(), *both)[-2:].max() > toxicity.gains(prose(5, 3000).encode(), *both)[-2:].max()
-    assert len(toxicity.gains(b"", *both)) == 1
+    for long, plain in zip(toxicity.gains(late.encode(), *both), toxicity.gains(prose(5, 3000).encode(), *both), strict=True):
+        assert long[-2:].max() > plain[-2:].max()
+    assert [len(g) for g in toxicity.gains(b"", *both)] == [1, 1]
+
+
+def test_toxicity_matches_a_plain_computation(spark):
+    """The score from the model's two dictionaries: window by window, gains counted, then the logistic formula."""
+    import zstandard as z
+
+    known = spark.createDataFrame(toxic_rows(400, 6), "doc_id long, text string, label int")
+    model = toxicity.fit(known.drop("label"), known.drop("text"))
+    shape = z.ZstdCompressionParameters(window_log=14, hash_log=12, chain_log=12, search_log=3, min_match=4, target_length=24, strategy=z.STRATEGY_GREEDY,
+                                        format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(window, content):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=shape).compress(window))
+
+    texts = ["", None, "a", toxic_rows(4, 9)[0][1], prose(3, 400)]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", toxicity.toxicity(F.col("text"), model).alias("s")).collect()
+    for r in got:
+        body, x = b" " + (texts[r["k"]] or "").lower().encode() + b" ", []
+        for width, overlap in toxicity.WINDOWS:
+            gain, at = [], 0
+            while not gain or at < len(body) - overlap:
+                gain.append(size(body[at : at + width], model.ordinary) - size(body[at : at + width], model.toxic))
+                at += width - overlap
+            over = [sum(g >= k for g in gain) for k in range(1, toxicity.GAINS + 1)]
+            x += [math.log((o + 0.3) / (len(gain) + 1)) for o in over] + [math.log1p(o) for o in over[2:]]
+            x += [min(max(gain), 10), sum(gain) / len(gain), math.log(len(gain)), sum(g <= -2 for g in gain) / len(gain)]
+        total = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.centre, model.scale, strict=True))
+        assert r["s"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_toxicity_on_the_given_held_out_rows(spark):
+    from termweave.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op8_toxicity"](spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    caught = [r["predicted"] for r in rows if r["toxic"]]
+    left = [1 - r["predicted"] for r in rows if not r["toxic"]]
+    assert np.mean(caught) >= 0.8 and np.mean(left) >= 0.85
+
+
+def test_long_and_repeated_labelled_texts_are_learned(spark):
+    """Every text is longer than what is read of one, and ids repeat with different texts: a stretch of one of them is read."""
+    rows = [(k, " ".join([t] * 6), y) for k, t, y in toxic_rows(600, 8)]
+    known = spark.createDataFrame(rows + rows[:50] + [(k, "", y) for k, _, y in rows[:30]], "doc_id long, text string, label int")
+    model = toxicity.fit(known.drop("label"), known.drop("text"), toxicity.Sample(text_bytes=1200))
+    held = spark.createDataFrame(toxic_rows(200, 4), "doc_id long, text string, label int").withColumn("score", toxicity.toxicity(F.col("text"), model)).collect()
+    assert np.mean([(r["score"] >= 0.5) == r["label"] for r in held]) >= 0.95
 
 
 def test_quality_rules_learn_and_compile(spark, odd, none):
@@ -176,6 +225,42 @@ def test_short_items_are_found_at_every_offset(spark):
     assert got == {(k, k) for k in range(60)}
 
 
+def test_items_too_short_for_a_direction_are_found_word_for_word(spark):
+    items = [(1, "amber quiet copper meadow signal thunder"), (2, "One two, three four!"), (3, "lone word"), (4, "x")]
+    docs = [(1, "so Amber quiet: copper meadow signal thunder it is"), (2, "amber quiet copper the meadow signal thunder"), (3, "one two three four"), (4, "lone word"),
+            (5, "a lone word here"), (6, "x"), (7, "x x"), (8, prose(4, 40) + " one two three four " + prose(5, 40))]
+    found = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["id"], r["item_id"]) for r in found} == {(1, 1), (3, 2), (4, 3), (6, 4), (8, 2)}
+
+
+def test_scripts_without_blanks(spark):
+    pick = random.Random(3)
+    signs = [chr(0x4E00 + k) for k in range(600)]
+    text = lambda n: "".join(pick.choice(signs) + pick.choice(["", "", "", "", "，", "。"]) for _ in range(n))
+    items = [(k, text(45)) for k in range(20)]
+    rows = [(k, items[k][1]) for k in range(10)] + [(k, text(200) + items[k][1] + text(90)) for k in range(10, 20)] + [(k, text(300)) for k in range(20, 40)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["id"], r["item_id"]) for r in latent.leaks(docs, benchmark).collect()} == {(k, k) for k in range(20)}
+
+
+@pytest.mark.parametrize("options", [latent.Options(), latent.Options(block=20, blocks=2), latent.Options(block_words=300)])
+def test_latent_recall_against_brute_force(spark, options):
+    """Items of 15 to 24 words with all, 70 and 56 % of their words kept: what every stretch holds, compared by brute force."""
+    pick, rows = random.Random(12), []
+    items = [(k, prose(3000 + k, pick.randrange(15, 25))) for k in range(90)]
+    for k, text in items:
+        words = text.split()
+        last = max(1, len(words) // 4)
+        lost = pick.sample(range(len(words) - last), len(words) - max(last, math.ceil((1.0, 0.7, 0.56)[k % 3] * len(words))))
+        words = [w if i not in lost else "changed" for i, w in enumerate(words)]
+        rows.append((k, f"{prose(7000 + k, 60 + k)} {' '.join(words)} {prose(8000 + k, 90)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in latent.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), options=options).collect()}
+    assert got <= {(k, k) for k in range(90)}
+    for share in range(3):
+        assert len([k for k, _ in got if k % 3 == share]) >= 27
+
+
 def test_the_sample_holds_a_text_once(spark):
     heavy = [prose(9000 + k, 20) for k in range(40)]
     docs = spark.createDataFrame([(t,) for t in heavy * 50 + [prose(k, 20) for k in range(1000)] + [None]], "text string")
