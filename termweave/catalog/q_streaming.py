@@ -58,7 +58,7 @@ def stream_audit_counts(spark, sf):
     count(*) FILTER (WHERE reason IS NOT NULL) AS refused FROM replay r GROUP BY 1""",
 )
 def stream_review_state(spark, sf):
-    """The review history as a stream in two deliveries; must end as the batch replay does."""
+    """The review history as a stream in two deliveries, dealt without regard to order; must end as the batch replay does."""
 
     def write(path):
         items = QC.item_states(spark, sf)
@@ -67,11 +67,18 @@ def stream_review_state(spark, sf):
         events = (
             RV.with_dotted_overrides(QC.review_events(spark, sf)).join(billable, "code", "left").join(needed, "encounter_id")
             .withColumn("is_billable", F.coalesce("is_billable", F.lit(False))).withColumn("coded", F.lit(True))
-            .select("encounter_id", "item_id", F.col("seq").cast("bigint").alias("seq"), "kind", "code", "is_billable", "coded", "needed")
+            .withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+            .select("encounter_id", "at", "item_id", F.col("seq").cast("bigint").alias("seq"), "kind", "code", "is_billable", "coded", "needed")
         )
-        halves = events.withColumn("late", F.col("seq") > 20)
-        halves.where("not late").drop("late").write.parquet(f"{path}/first")
-        halves.where("late").drop("late").write.parquet(f"{path}/second")
+        halves = events.withColumn("half", F.pmod(F.xxhash64("encounter_id", "seq"), F.lit(2)))
+        halves.where("half = 0").drop("half").write.parquet(f"{path}/first")
+        # A clock row far ahead ends the stream: the watermark passes the last event.
+        clock = events.agg(F.max("at").alias("last")).select(
+            F.lit("").alias("encounter_id"), (F.col("last") + F.expr("INTERVAL 90 DAYS")).alias("at"), F.lit(None).cast("bigint").alias("item_id"),
+            F.lit(-1).cast("bigint").alias("seq"), F.lit(J.CLOCK).alias("kind"), F.lit(None).cast("string").alias("code"),
+            F.lit(False).alias("is_billable"), F.lit(False).alias("coded"), F.lit(0).cast("bigint").alias("needed"),
+        )
+        halves.where("half = 1").drop("half").unionByName(clock).write.parquet(f"{path}/second")
 
     source = written(spark, sf, "review-stream", write)
     schema = spark.read.parquet(f"{source}/first").schema
@@ -80,6 +87,6 @@ def stream_review_state(spark, sf):
         # The second run resumes from the checkpoint: the glob now reaches the later files too.
         names = "first" if delivery == "first" else "{first,second}"
         events = spark.readStream.schema(schema).parquet(f"{source}/{names}")
-        J.stream_review_state(events, out, state).awaitTermination()
+        J.stream_review_state(events, out, state, "30 days").awaitTermination()
     final = J.latest_states(spark.read.parquet(out))
     return final.select("encounter_id", "closed_at", "accepted", "refused")

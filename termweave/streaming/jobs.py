@@ -6,14 +6,14 @@ checkpoint location. Sinks are idempotent: a repeated micro-batch overwrites its
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from termweave.operators import coding as C
 from termweave.operators import review as RV
@@ -62,23 +62,25 @@ def stream_audit_counts(events: DataFrame, watermark: str, window: str, path: st
     )
 
 
-STATE = "closed_at long, accepted long, refused long, items string"
 OUTPUT = "encounter_id string, closed_at long, accepted long, refused long, resolved long, needed long"
+CLOCK = "clock"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _refusal(event, item: dict | None, closed: bool, items: dict, needed: int) -> str | None:
+def _refusal(event, item: tuple | None, closed: bool, resolved: int) -> str | None:
+    """Why an event does not count; `item` is (assigned code, resolved) of a scored item."""
     if closed:
         return "already approved"
     if event.kind in RV.SCORING:
         return None
     if event.kind == RV.APPROVAL:
-        done = sum(1 for i in items.values() if i["resolved"])
-        return None if done == needed else "items still need review"
+        return None if resolved == event.needed else "items still need review"
     if not event.coded:
         return "not coded"
-    if item is None or not item["scored"]:
+    if item is None:
         return "pending"
-    if event.kind == "approve" and not item["assigned"]:
+    if event.kind == "approve" and not item[0]:
         return "nothing to approve"
     if event.kind == "override":
         if not event.code:
@@ -87,53 +89,133 @@ def _refusal(event, item: dict | None, closed: bool, items: dict, needed: int) -
     return "code without override" if event.code else None
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Replays one encounter's new events on its stored state."""
-    closed_at, accepted, refused, raw = state.get if state.exists else (-1, 0, 0, "{}")
-    items = json.loads(raw)
-    needed = 0
-    events = pd.concat(list(frames)).sort_values("seq")
-    for event in events.itertuples(index=False):
-        needed = int(event.needed)
-        name = None if event.kind == RV.APPROVAL else str(int(event.item_id))
-        item = items.get(name) if name else None
-        if _refusal(event, item, closed_at >= 0, items, needed):
-            refused += 1
-            continue
-        accepted += 1
-        if event.kind == RV.APPROVAL:
-            closed_at = int(event.seq)
-        elif event.kind in RV.SCORING:
-            items[name] = {"scored": True, "assigned": event.code, "resolved": False}
+class ReviewState(StatefulProcessor):
+    """One encounter: events that wait for the watermark, its items, and its counts.
+
+    Events may come in any order within the watermark: they wait in a list until it passes their time and are then replayed
+    in order of time and seq. Items are a typed map, read and written one by one. A closed encounter drops its items at once,
+    refuses what still comes, and leaves the state `retention_ms` after it was closed.
+    """
+
+    WAITING = ("at", "seq", "item_id", "kind", "code", "is_billable", "coded", "needed")
+
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState(
+            "waiting", "at long, seq long, item_id string, kind string, code string, is_billable boolean, coded boolean, needed long"
+        )
+        self.items = handle.getMapState("items", "item_id string", "assigned string, resolved boolean")
+        self.counts = handle.getValueState("counts", "closed_at long, accepted long, refused long, resolved long, needed long, leaves_at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new = new[new["kind"] != CLOCK]
+        if len(new):
+            new = new.assign(at=new["at"].astype("datetime64[ms]").astype("int64"))
+            self.waiting.appendList([_event(e) for e in new[list(self.WAITING)].itertuples(index=False)])
+            self.handle.registerTimer(int(new["at"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        events = [_Waiting(*e) for e in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted(e for e in events if e.at <= until)
+        later = [e for e in events if e.at > until]
+        if due:
+            if later:
+                self.waiting.put([tuple(e) for e in later])
+                self.handle.registerTimer(min(e.at for e in later))
+            else:
+                self.waiting.clear()
+            yield self._replayed(key, due)
+        elif self.counts.exists() and not later and 0 <= self.counts.get()[5] <= until:
+            self.counts.clear()
+
+    def _replayed(self, key, due: list) -> pd.DataFrame:
+        closed_at, accepted, refused, resolved, needed, leaves_at = self.counts.get() if self.counts.exists() else (-1, 0, 0, 0, 0, -1)
+        known: dict[str, tuple | None] = {}
+        for event in due:
+            needed, name = event.needed, event.item_id
+            if name is not None and name not in known:
+                known[name] = tuple(self.items.getValue((name,))) if closed_at < 0 and self.items.containsKey((name,)) else None
+            item = known.get(name)
+            if _refusal(event, item, closed_at >= 0, resolved):
+                refused += 1
+                continue
+            accepted += 1
+            if event.kind == RV.APPROVAL:
+                closed_at, leaves_at = event.seq, event.at + self.retention_ms
+            elif event.kind in RV.SCORING:
+                resolved -= bool(item and item[1])
+                known[name] = (event.code, False)
+            else:
+                resolved += not item[1]
+                known[name] = (item[0], True)
+        if closed_at >= 0:
+            self.items.clear()
+            self.handle.registerTimer(leaves_at)
         else:
-            items[name]["resolved"] = True
-    state.update((closed_at, accepted, refused, json.dumps(items)))
-    resolved = sum(1 for i in items.values() if i["resolved"])
-    yield pd.DataFrame(
-        [(key[0], closed_at, accepted, refused, resolved, needed)],
-        columns=["encounter_id", "closed_at", "accepted", "refused", "resolved", "needed"],
-    )
+            for name, item in known.items():
+                if item is not None:
+                    self.items.updateValue((name,), item)
+        self.counts.update((closed_at, accepted, refused, resolved, needed, leaves_at))
+        return pd.DataFrame([(key[0], closed_at, accepted, refused, resolved, needed)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
 
+class _Waiting(NamedTuple):
+    at: int
+    seq: int
+    item_id: str | None
+    kind: str
+    code: str | None
+    is_billable: bool
+    coded: bool
+    needed: int
 
-def review_states(events: DataFrame) -> DataFrame:
-    """ST-03: the current review state per encounter (closed_at is -1 while open).
 
-    events: encounter_id, item_id, seq, kind, code, is_billable, coded, needed - the batch
-    replay's events (through `review.with_dotted_overrides`) joined to the static tables. State is one small record per encounter.
+def _event(e) -> tuple:
+    """A row as the state keeps it: plain types, None for a missing item or code."""
+    none = lambda v: None if pd.isna(v) else str(v)
+    return (int(e.at), int(e.seq), none(e.item_id), str(e.kind), none(e.code), bool(e.is_billable), bool(e.coded), int(e.needed))
+
+
+def review_states(events: DataFrame, watermark: str, retention_ms: int = 7 * 86_400_000) -> DataFrame:
+    """ST-03: the current review state per encounter (closed_at is -1 while open), sent whenever it changes.
+
+    events: encounter_id, at (event time), item_id, seq, kind, code, is_billable, coded, needed - the batch replay's events
+    (through `review.with_dotted_overrides`) joined to the static tables. Events behind the watermark are dropped. A row of
+    kind `clock` belongs to no item and only moves the watermark on, as a source without new events would else hold back
+    the last ones for ever.
     """
-    return events.groupBy("encounter_id").applyInPandasWithState(
-        _fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    typed = events.select(
+        "encounter_id", "at", F.col("seq").cast("bigint").alias("seq"), F.col("item_id").cast("bigint").cast("string").alias("item_id"),
+        "kind", "code", "is_billable", "coded", F.col("needed").cast("bigint").alias("needed"),
+    )
+    return typed.withWatermark("at", watermark).groupBy("encounter_id").transformWithStateInPandas(
+        statefulProcessor=ReviewState(retention_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
     )
 
 
-def stream_review_state(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_review_state(events: DataFrame, path: str, checkpoint: str, watermark: str, retention_ms: int = 7 * 86_400_000) -> StreamingQuery:
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, batch_id, path)
 
-    return (
-        review_states(events).writeStream.outputMode("update").foreachBatch(sink)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    spark = events.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)  # the only state store with typed state and timers; a query keeps what it starts with
+    try:
+        return (
+            review_states(events, watermark, retention_ms).writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def latest_states(written: DataFrame) -> DataFrame:

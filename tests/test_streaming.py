@@ -30,3 +30,33 @@ def test_repeated_batch_overwrites_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path)).count() == 5
     written = spark.createDataFrame([("e", 0, 1), ("e", 2, 9), ("f", 1, 4)], "encounter_id string, batch int, accepted int")
     assert {(r.encounter_id, r.accepted) for r in J.latest_states(written.withColumn("x", F.lit(1))).collect()} == {("e", 9), ("f", 4)}
+
+
+def review_events(spark, rows):
+    """(encounter, minute, item, seq, kind, code) as review events of an encounter with two coded items."""
+    start = datetime(2026, 1, 1)
+    full = [(e, start + timedelta(minutes=m), i, s, k, c, True, True, 2) for e, m, i, s, k, c in rows]
+    return spark.createDataFrame(full, "encounter_id string, at timestamp, item_id long, seq long, kind string, code string, is_billable boolean, coded boolean, needed long")
+
+
+def test_review_events_are_replayed_in_order_whatever_batch_they_come_in(spark, tmp_path):
+    one = [("a", 1, 1, 1, "scored", "X"), ("a", 2, 2, 2, "scored", None), ("a", 3, 2, 3, "approve", None), ("a", 4, 2, 4, "override", "Y"),
+           ("a", 5, None, 5, "encounter.approve", None), ("a", 6, 1, 6, "approve", None), ("a", 7, None, 7, "encounter.approve", None), ("a", 8, 1, 8, "remove", None)]
+    # the override before its scoring, the approval before what it waits for, the same events of b in one go
+    deliveries = [[one[3], one[6]], [one[7], one[1], one[4]], [one[0], one[5], one[2]] + [("b", m, i, s, k, c) for _, m, i, s, k, c in one[:4]],
+                  [("", 10_000, None, -1, J.CLOCK, None)], [("a", 1, 1, 9, "remove", None), ("b", 10_001, 1, 10, "approve", None), ("", 30_000, None, -2, J.CLOCK, None)]]
+    out, state, source = (str(tmp_path / n) for n in ("out", "state", "in"))
+    states = []
+    for k, rows in enumerate(deliveries):
+        events = review_events(spark, rows)
+        events.coalesce(1).write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{source}/*")
+        J.stream_review_state(stream, out, state, "1 hour", retention_ms=86_400_000).awaitTermination()
+        seen = spark.read.schema(J.OUTPUT + ", batch int").parquet(out)
+        states.append({r.encounter_id: (r.closed_at, r.accepted, r.refused, r.resolved, r.needed) for r in J.latest_states(seen).collect()})
+    # nothing is judged before the watermark has passed it
+    assert states[:3] == [{}, {}, {}]
+    # refused: the approval of an item without a code, the early closing, the removal after the closing
+    assert states[3] == {"a": (7, 5, 3, 2, 2), "b": (-1, 3, 1, 1, 2)}
+    # an event far behind the watermark is dropped; b goes on from its state
+    assert states[4] == {"a": (7, 5, 3, 2, 2), "b": (-1, 4, 1, 2, 2)}
