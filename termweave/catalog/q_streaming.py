@@ -28,8 +28,8 @@ def stream_intake(spark, sf):
     source = written(spark, sf, "encounter-stream", write)
     out, state = scratch_path(spark, "intake"), scratch_path(spark, "intake-state")
     lines = spark.readStream.schema("value string, received_at timestamp").parquet(source)
-    J.stream_intake(lines, "30 days", out, state).awaitTermination()
-    return spark.read.parquet(out).select("encounter_id").distinct()
+    J.stream_intake(lines, out, state).awaitTermination()
+    return spark.read.parquet(f"{out}/accepted").select("encounter_id")
 
 
 _CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END"

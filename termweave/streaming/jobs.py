@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -24,25 +24,57 @@ def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Ids that the batches before this one have taken."""
+    nothing = spark.createDataFrame([], "encounter_id string")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/accepted")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return nothing
+    taken = spark.read.schema("encounter_id string, batch long").parquet(f"{path}/accepted")
+    return taken.where(F.col("batch") < batch_id).select("encounter_id")
+
+
+def take_in(batch: DataFrame, batch_id: int, path: str, process: Callable[[DataFrame], DataFrame], stored: DataFrame | None = None) -> None:
+    """One micro-batch of documents (value, received_at): every document goes to exactly one of two sinks.
+
+    `accepted` has the valid documents whose id is new, the first of it by (received_at, content); `quarantine` all others
+    with their rules, or "already stored" or "repeated". `items` has what `process` makes of the accepted ones. Ids are
+    compared with `stored` and with the earlier batches only, and each batch replaces its own folders, so a batch that is
+    run again changes nothing.
+    """
+    spark = batch.sparkSession
+    _write_batch(batch.select("value", "received_at", F.monotonically_increasing_id().alias("row")), batch_id, f"{path}/arrived")
+    arrived = spark.read.parquet(f"{path}/arrived/batch={batch_id}")
+    checked = C.validate_encounters(arrived)
+    known = _earlier(spark, path, batch_id)
+    known = known if stored is None else known.unionByName(stored.select("encounter_id"))
+    order = F.struct("received_at", F.xxhash64("value").alias("content"), "row")
+    valid = checked.where(F.size("violations") == 0).select(F.col("e.encounter_id").alias("encounter_id"), "value", "received_at", "row", order.alias("order"))
+    judged = C.reject_duplicates(valid, known, "order").drop("order")
+    invalid = checked.where(F.size("violations") > 0).select("value", "received_at", "row", F.col("violations").alias("reasons"))
+    refused = judged.where("rejected is not null").select("value", "received_at", "row", F.array("rejected").alias("reasons"))
+    _write_batch(invalid.unionByName(refused), batch_id, f"{path}/quarantine")
+    _write_batch(judged.where("rejected is null").select("encounter_id", "value", "received_at"), batch_id, f"{path}/accepted")
+    taken = spark.read.parquet(f"{path}/accepted/batch={batch_id}").select("value", "received_at")
+    _write_batch(process(C.accepted(C.validate_encounters(taken))), batch_id, f"{path}/items")
+
+
 def stream_intake(
     lines: DataFrame,
-    watermark: str,
     path: str,
     checkpoint: str,
     process: Callable[[DataFrame], DataFrame] = C.flatten_items,
+    stored: DataFrame | None = None,
 ) -> StreamingQuery:
-    """ST-01: encounter documents (value, received_at) -> valid, first of its id -> items table.
+    """ST-01: encounter documents (value, received_at) -> `accepted`, `quarantine` and `items` tables below `path`.
 
-    Repeats inside the watermark are dropped by state. `process` turns the accepted encounters
-    of one micro-batch into the rows to keep; the coding batch fits here as well.
+    `process` turns the accepted encounters of one micro-batch into the rows to keep; the coding batch fits here as well.
     """
-    checked = C.accepted(C.validate_encounters(lines.withWatermark("received_at", watermark)))
-    unique = checked.dropDuplicatesWithinWatermark(["encounter_id"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(process(batch), batch_id, path)
+        take_in(batch, batch_id, path, process, stored)
 
-    return unique.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def audit_counts(events: DataFrame, watermark: str, window: str) -> DataFrame:

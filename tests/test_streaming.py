@@ -60,3 +60,33 @@ def test_review_events_are_replayed_in_order_whatever_batch_they_come_in(spark,
     assert states[3] == {"a": (7, 5, 3, 2, 2), "b": (-1, 3, 1, 1, 2)}
     # an event far behind the watermark is dropped; b goes on from its state
     assert states[4] == {"a": (7, 5, 3, 2, 2), "b": (-1, 4, 1, 2, 2)}
+
+
+def test_every_document_is_in_one_sink_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    start, path = datetime(2026, 1, 1), str(tmp_path / "out")
+
+    def document(name, note="note"):
+        return f'{{"encounter_id": "{name}", "patient_id": "p", "soap_note": "{note}", "conditions": [{{"text": "pain"}}]}}'
+
+    def batch(*rows):
+        return spark.createDataFrame([(v, start + timedelta(minutes=m)) for v, m in rows], "value string, received_at timestamp")
+
+    first = batch((document("a"), 3), (document("a", "earlier"), 1), (document("b"), 1), (document("b"), 1), ("no json", 2), (document(""), 2), (None, 4))
+    second = batch((document("a"), 9), (document("c"), 9), (document("s"), 9))
+    stored = spark.createDataFrame([("s",)], "encounter_id string")
+
+    def state():
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        taken = sorted((r.encounter_id, r.received_at, r.batch) for r in read("accepted").collect())
+        return taken, sorted((str(r.value), r.reasons[0], r.batch) for r in read("quarantine").collect()), sorted((r.encounter_id, r.text) for r in read("items").collect())
+
+    J.take_in(first, 0, path, J.C.flatten_items, stored)
+    J.take_in(second, 1, path, J.C.flatten_items, stored)
+    taken, refused, items = state()
+    assert [(e, b) for e, _, b in taken] == [("a", 0), ("b", 0), ("c", 1)] and taken[0][1] == start + timedelta(minutes=1)
+    assert len(taken) + len(refused) == first.count() + second.count()
+    assert [r for _, r, _ in refused].count("repeated") == 2 and [r for _, r, _ in refused].count("already stored") == 2
+    assert items == [("a", "pain"), ("b", "pain"), ("c", "pain")]
+    for again in ((first, 0), (second, 1)):
+        J.take_in(*again, path, J.C.flatten_items, stored)
+        assert state() == (taken, refused, items)
