@@ -93,15 +93,15 @@ def link_terms(terms: DataFrame, concepts: DataFrame, percent: int, by: Sequence
     )
 
 
-def link_report(terms: DataFrame, concepts: DataFrame, percent: int) -> DataFrame:
-    """Counts of the load: parsed, held out, with a code the release lacks, loaded."""
-    known = concepts.select("code", F.lit(1).alias("known")).distinct()
+def link_report(terms: DataFrame, concepts: DataFrame, percent: int, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of the load, per release where `by` names its columns: parsed, held out, with a code it lacks, loaded."""
+    known = concepts.select(*by, "code", F.lit(1).alias("known")).distinct()
     status = (
         F.when(F.col("held_out"), "held_out").when(F.col("known").isNull(), "unknown_code").otherwise("linked")
     )
     return (
-        holdout_split(terms, percent).join(known, "code", "left")
-        .groupBy(status.alias("status"), "via_see").agg(F.count(F.lit(1)).alias("terms"))
+        holdout_split(terms, percent).join(known, [*by, "code"], "left")
+        .groupBy(*by, status.alias("status"), "via_see").agg(F.count(F.lit(1)).alias("terms"))
     )
 
 

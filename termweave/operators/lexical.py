@@ -424,9 +424,12 @@ def text_candidates(
 
 
 def match_fallback(texts: DataFrame, run, least: int = FALLBACK_MIN) -> DataFrame:
-    """T-06: all-words results, replaced per query by any-word results where they are fewer than `least`."""
+    """T-06: all-words results, replaced per query by any-word results where they are fewer than `least`.
+
+    The all-words results are written once: they are part of the result and tell which queries need more.
+    """
     per_text = F.count(F.lit(1)).over(W.partitionBy("text_id"))
-    strict = run(texts, False).withColumn("_n", per_text).where(F.col("_n") >= least).drop("_n")
+    strict = materialise(run(texts, False).withColumn("_n", per_text).where(F.col("_n") >= least).drop("_n"), "strict-matches")
     few = texts.join(strict.select("text_id").distinct(), "text_id", "left_anti")
     return strict.unionByName(run(few, True))
 
