@@ -64,8 +64,8 @@ def test_damaged_payload_is_an_error():
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert {n[:4].rstrip("_") for n in queries.ORACLES} == {"op2", "op5", "op9", "op10"}
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    assert {n[:4].rstrip("_") for n in queries.ORACLES} == {"op2", "op5", "op9", "op10", "op11", "op12", "op13"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "benchmark_leaks", "byte_bpe"]
 
 
