@@ -10,6 +10,7 @@ from termweave.operators import hierarchy as H
 from termweave.operators import lexical as L
 from termweave.operators import ranking as R
 from termweave.operators import semantic as E
+from termweave.operators import vector_index as I
 from termweave.plans import search as S
 
 # ── lexical ──
@@ -326,9 +327,15 @@ def ann_topk(spark, sf):
 
 @query("ann_recall")
 def ann_recall(spark, sf):
-    """Recall of the inverted file against the exact search."""
+    """Recall of the inverted file against the exact search, and the pairs whose codes it scanned of all."""
     queries, corpus = _vectors(spark, sf)
-    return E.ann_recall(E.knn_topk(queries, corpus, 10), _approximate(spark, sf))
+    search = E.ann_prepare(queries, corpus, 10)
+    measured = E.ann_recall(E.knn_topk(queries, corpus, 10), E.ann_topk(queries, corpus, 10, prepared=search))
+    scanned = 0
+    if search is not None:
+        scanned = I.compared_pairs(search.index, I.probed(search.index, queries, search.probes)).first().compared
+    vectors = corpus.agg(F.count("embedding").alias("n")).first().n
+    return measured.withColumns({"compared": F.lit(scanned).cast("bigint"), "pairs": F.lit(vectors**2).cast("bigint")})
 
 
 def _stored_vectors(spark, sf):

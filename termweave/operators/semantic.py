@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,15 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termweave.operators import vector_index as I
 from termweave.operators.lexical import CODE_SOURCE, INDEX_SOURCE, POOL
 
 Encoder = Callable[[list[str]], "list[list[float]] | np.ndarray"]
 BATCH = 64
-QUERY_BLOCK = 2048
-CORPUS_BLOCK = 20_000
 INNER_BLOCK = 256
-ANN_SAMPLE = 4096
-ANN_QUERIES = 512
+MERGE_FAN = 32
 
 
 def embedding_text(concepts: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -131,13 +130,11 @@ def check_vectors(inputs: DataFrame, vectors: DataFrame, dimensions: int) -> Dat
     )
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.asarray(vectors.tolist(), dtype=np.float64)
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms == 0, 1.0, norms)
+def _own_vectors(corpus: pd.DataFrame) -> np.ndarray:
+    return I.unit_rows(corpus["stored"])
 
 
-def _cell_topk(k: int):
+def _cell_topk(k: int, vectors: Callable[[pd.DataFrame], np.ndarray] = _own_vectors):
     """Best `k` corpus rows of one block for every query of one block, by (score, sort_key, row_id)."""
 
     def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
@@ -145,9 +142,9 @@ def _cell_topk(k: int):
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
         corpus = corpus.sort_values(["sort_key", "row_id"], kind="stable")
-        right = _matrix(corpus["stored"]).T
+        right = vectors(corpus).T
         ids, keys = corpus["row_id"].to_numpy(), corpus["sort_key"].to_numpy()
-        left, names = _matrix(queries["asked"]), queries["query_id"].to_numpy()
+        left, names = I.unit_rows(queries["asked"]), queries["query_id"].to_numpy()
         top = min(k, right.shape[1])
         parts = []
         for at in range(0, len(left), INNER_BLOCK):
@@ -174,6 +171,18 @@ def _keep_best(found: DataFrame, k: int, by: list[str]) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _merge_best(found: DataFrame, k: int, lists: int) -> DataFrame:
+    """The best `k` of a query from its `lists` partial lists, numbered by `part`: MERGE_FAN lists at a time.
+
+    The last exchange moves at most MERGE_FAN x `k` rows of a query, however many lists it had.
+    """
+    while lists > MERGE_FAN:
+        lists = math.ceil(lists / MERGE_FAN)
+        found = found.withColumn("part", F.pmod("part", F.lit(lists)))
+        found = _keep_best(found, k, ["query_id", "part"]).drop("rank")
+    return _keep_best(found.drop("part"), k, ["query_id"])
+
+
 def _cell_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -185,18 +194,27 @@ def _cell_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     )
 
 
+def _in_parts(run: Callable, part: int) -> Callable:
+    """`run` over a cell, with the cell's key number `part` as column `part`."""
+
+    def keyed(key: tuple, queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        return run(queries, corpus).assign(part=np.int64(key[part]))
+
+    return keyed
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = POOL,
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
+    query_block: int = I.QUERY_BLOCK,
+    corpus_block: int = I.CORPUS_BLOCK,
 ) -> DataFrame:
     """S-06: exact top `k` by cosine: (query_id, row_id, sort_key, score, rank).
 
     Both sides are hashed into blocks of bounded size and each pair of blocks is one matrix
     product, so memory per task does not grow with the data and only `k` rows per query leave
-    a cell. The two row counts (read from file footers) set the number of blocks.
+    a cell; the cells' lists are merged in a tree. The two row counts set the number of blocks.
     """
     rows = math.ceil(queries.count() / query_block) or 1
     columns = math.ceil(corpus.count() / corpus_block) or 1
@@ -211,93 +229,71 @@ def knn_topk(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))).alias("qb"),
     )
     cells = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-    return _keep_best(cells.applyInPandas(_cell_topk(k), _cell_schema(queries, corpus)), k, ["query_id"])
+    schema = T.StructType([*_cell_schema(queries, corpus), T.StructField("part", T.LongType())])
+    return _merge_best(cells.applyInPandas(_in_parts(_cell_topk(k), 1), schema), k, columns)
 
 
-def _unit_pivots(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means of unit rows from the first `lists` of them; a pivot without members stays."""
-    pivots = sample[:lists].copy()
-    for _ in range(rounds):
-        at = np.argmax(sample @ pivots.T, axis=1)
-        sums = np.zeros_like(pivots)
-        np.add.at(sums, at, sample)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        pivots = np.where(norms > 0, sums / np.where(norms == 0, 1.0, norms), pivots)
-    return pivots
+@dataclass(frozen=True)
+class AnnSearch:
+    """An index with what a search of it needs: lists to probe, rows to score by their own vectors."""
 
+    index: I.VectorIndex
+    probes: int
+    refine: int
 
-def _probes_for(asked: np.ndarray, sample: np.ndarray, pivots: np.ndarray, k: int, recall: float) -> int:
-    """The fewest lists per query that hold `recall` of the exact `k` neighbours in the sample.
 
-    Neighbours in a sample are farther away than those in the corpus, so this errs to more lists.
-    """
-    lists = np.argmax(sample @ pivots.T, axis=1)
-    near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
-    place = np.argsort(np.argsort(-(asked @ pivots.T), axis=1, kind="stable"), axis=1)
-    needed = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel()) + 1
-    return int(needed[math.ceil(recall * len(needed)) - 1])
+def ann_prepare(
+    queries: DataFrame, corpus: DataFrame, k: int = POOL, lists: int | None = None, probes: int | None = None, recall: float = 0.95
+) -> AnnSearch | None:
+    """Build the index of `corpus`; probes, if not given, and exact scores follow from `recall` for a sample of the queries."""
+    index = I.build_index(corpus, lists)
+    if index is None:
+        return None
+    some = queries.where("embedding is not null").select("query_id", "embedding")
+    some = some.orderBy(F.xxhash64("query_id"), "query_id").limit(I.ASKED).collect()
+    if not some:
+        return AnnSearch(index, probes or 1, I.REFINE * k)
+    found, refine = I.probes_for(index, I.unit_rows(pd.Series([r["embedding"] for r in some])), k, recall)
+    return AnnSearch(index, probes or found, refine)
 
 
 def ann_topk(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = POOL,
-    lists: int = 64,
+    lists: int | None = None,
     probes: int | None = None,
-    query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
+    query_block: int = I.QUERY_BLOCK,
+    corpus_block: int = I.CORPUS_BLOCK,
     recall: float = 0.95,
+    prepared: AnnSearch | None = None,
 ) -> DataFrame:
-    """S-07: approximate top `k`: an inverted file over `lists` pivots, `probes` lists per query.
+    """S-07: approximate top `k`: (query_id, row_id, sort_key, score, rank), by an inverted file over quantised rows.
 
-    The pivots are fitted to the ANN_SAMPLE corpus vectors of smallest hash, a fixed number whatever
-    the corpus; `probes`, if not given, is the least that reaches `recall` for a sample of the
-    queries among these vectors. Filters belong on `corpus` before the call, so no result is lost to them. A list
+    See `vector_index`. Filters belong on `corpus` before the call, so no result is lost to them. A list
     with many vectors is split into cells of `corpus_block`, and a list many queries probe into
-    cells of `query_block`.
+    cells of `query_block`. `prepared` is a search of the same corpus, to use it more than once.
     """
-    spark = corpus.sparkSession
-    chosen = corpus.select("row_id", "embedding").orderBy(F.xxhash64("row_id"), "row_id").limit(max(lists, ANN_SAMPLE)).collect()
-    if not chosen:
+    prepared = prepared or ann_prepare(queries, corpus, k, lists, probes, recall)
+    if prepared is None:
         return knn_topk(queries, corpus, k, query_block, corpus_block)
-    sample = _matrix(pd.Series([r["embedding"] for r in chosen]))
-    fitted = _unit_pivots(sample, lists)
-    if probes is None:
-        some = queries.select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(ANN_QUERIES).collect()
-        probes = _probes_for(_matrix(pd.Series([r["embedding"] for r in some])), sample, fitted, k, recall) if some else 1
-    pivots = spark.sparkContext.broadcast(fitted)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def nearest(vectors: pd.Series, many: pd.Series) -> pd.Series:
-        near = np.argsort(-(_matrix(vectors) @ pivots.value.T), axis=1, kind="stable")
-        return pd.Series([row[:n].tolist() for row, n in zip(near, many)])
-
-    stored = corpus.select("row_id", "sort_key", F.col("embedding").alias("stored")).withColumn(
-        "list", F.element_at(nearest("stored", F.lit(1)), 1)
-    )
-    asked = queries.select("query_id", F.col("embedding").alias("asked")).withColumn(
-        "list", F.explode(nearest("asked", F.lit(probes)))
-    )
-    sizes = (
-        stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / corpus_block).alias("columns"))
-        .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("rows")), "list")
-    )
-    grid = F.broadcast(sizes)  # at most `lists` rows
-    left = asked.join(grid, "list").select(
-        "query_id", "asked", "list",
-        F.pmod(F.xxhash64("query_id"), F.col("rows")).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("columns") - 1)).alias("cb"),
-    )
-    right = stored.join(grid, "list").select(
-        "row_id", "sort_key", "stored", "list",
-        F.pmod(F.xxhash64("row_id"), F.col("columns")).alias("cb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("qb"),
-    )
-    cell = ["list", "qb", "cb"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-        _cell_topk(k), _cell_schema(queries, corpus)
+    shared, refine = prepared.index.quantiser, prepared.refine
+
+    def by_code(rows: pd.DataFrame) -> np.ndarray:
+        codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+        return shared.value.decoded(codes, rows["list"].to_numpy())
+
+    asked = I.probed(prepared.index, queries, prepared.probes)
+    cells = I.cells(asked, prepared.index.rows, query_block, corpus_block)
+    scanned = cells.applyInPandas(_cell_topk(refine, by_code), _cell_schema(queries, corpus))
+    short = _keep_best(scanned, refine, ["query_id"]).select("query_id", "row_id", "sort_key").distinct()
+    stored = corpus.where("embedding is not null").select("row_id", "sort_key", F.col("embedding").alias("stored"))
+    scored = (
+        short.join(stored, ["row_id", "sort_key"])
+        .join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
+        .select("query_id", "row_id", "sort_key", I.exact_cosine("asked", "stored").alias("score"))
     )
-    return _keep_best(found, k, ["query_id"])
+    return _keep_best(scored, k, ["query_id"])
 
 
 def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

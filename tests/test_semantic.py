@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from termweave.operators import semantic as E
+from termweave.operators import vector_index as I
 
 
 def vectors(spark, n=60, d=8):
@@ -41,6 +42,29 @@ def test_ann_reaches_its_recall(spark):
     assert E.ann_topk(q, c.where("false"), 10).count() == 0 and E.ann_topk(q.where("false"), c, 10).count() == 0
 
 
+def test_ann_of_clustered_vectors_scans_under_a_quarter(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 32))[rng.integers(40, size=4000)] + 0.3 * rng.normal(size=(4000, 32))
+    v[:1300] = v[0]  # a third of all rows is one vector
+    rows = [(i, i, x.tolist()) for i, x in enumerate(v.astype("float32"))]
+    c = spark.createDataFrame([*rows, (9999, 9999, None)], "row_id long, sort_key long, embedding array<float>")
+    q = c.where("row_id % 9 = 0").selectExpr("row_id AS query_id", "embedding")
+    search = E.ann_prepare(q, c, 10)
+    found = E.ann_topk(q, c, 10, prepared=search, query_block=100, corpus_block=300)
+    assert E.ann_recall(E.knn_topk(q.where("embedding IS NOT NULL"), c.where("embedding IS NOT NULL"), 10), found).first().recall >= 0.9
+    asked = I.probed(search.index, q, search.probes)
+    assert search.index.rows.count() == 4000  # every row is indexed
+    assert I.compared_pairs(search.index, asked).first().compared < (q.count() - 1) * 4000 / 4
+    plain = {(r.query_id, r.row_id): r.score for r in E.knn_topk(q.where("embedding IS NOT NULL"), c.where("embedding IS NOT NULL"), 10).collect()}
+    assert all(plain[key] == r.score for r in found.collect() if (key := (r.query_id, r.row_id)) in plain)
+
+
+def test_merge_in_a_tree_equals_one_merge(spark):
+    _, q, c = vectors(spark)
+    want = {tuple(r) for r in E.knn_topk(q, c, 5).collect()}
+    assert {tuple(r) for r in E.knn_topk(q, c, 5, 4, 1).collect()} == want  # 60 lists, more than one level
+
+
 def test_registered_recall_measures_the_registered_search(spark):
     from termweave.catalog import QUERIES
 
