@@ -130,11 +130,7 @@ def check_vectors(inputs: DataFrame, vectors: DataFrame, dimensions: int) -> Dat
     )
 
 
-def _own_vectors(corpus: pd.DataFrame) -> np.ndarray:
-    return I.unit_rows(corpus["stored"])
-
-
-def _cell_topk(k: int, vectors: Callable[[pd.DataFrame], np.ndarray] = _own_vectors):
+def _cell_topk(k: int):
     """Best `k` corpus rows of one block for every query of one block, by (score, sort_key, row_id)."""
 
     def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +138,7 @@ def _cell_topk(k: int, vectors: Callable[[pd.DataFrame], np.ndarray] = _own_vect
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
         corpus = corpus.sort_values(["sort_key", "row_id"], kind="stable")
-        right = vectors(corpus).T
+        right = I.unit_rows(corpus["stored"]).T
         ids, keys = corpus["row_id"].to_numpy(), corpus["sort_key"].to_numpy()
         left, names = I.unit_rows(queries["asked"]), queries["query_id"].to_numpy()
         top = min(k, right.shape[1])
@@ -270,22 +266,17 @@ def ann_topk(
 ) -> DataFrame:
     """S-07: approximate top `k`: (query_id, row_id, sort_key, score, rank), by an inverted file over quantised rows.
 
-    See `vector_index`. Filters belong on `corpus` before the call, so no result is lost to them. A list
-    with many vectors is split into cells of `corpus_block`, and a list many queries probe into
-    cells of `query_block`. `prepared` is a search of the same corpus, to use it more than once.
+    See `vector_index`. Filters belong on `corpus` before the call, so no result is lost to them. The lists of a
+    coarse pivot with many vectors are split into cells of `corpus_block`, and those that many queries
+    probe into cells of `query_block`. `prepared` is a search of the same corpus, to use it more than once.
     """
     prepared = prepared or ann_prepare(queries, corpus, k, lists, probes, recall)
     if prepared is None:
         return knn_topk(queries, corpus, k, query_block, corpus_block)
-    shared, refine = prepared.index.quantiser, prepared.refine
-
-    def by_code(rows: pd.DataFrame) -> np.ndarray:
-        codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-        return shared.value.decoded(codes, rows["list"].to_numpy())
-
+    refine = prepared.refine
     asked = I.probed(prepared.index, queries, prepared.probes)
     cells = I.cells(asked, prepared.index.rows, query_block, corpus_block)
-    scanned = cells.applyInPandas(_cell_topk(refine, by_code), _cell_schema(queries, corpus))
+    scanned = cells.applyInPandas(I.scan(prepared.index.quantiser, refine), _cell_schema(queries, corpus))
     short = _keep_best(scanned, refine, ["query_id"]).select("query_id", "row_id", "sort_key").distinct()
     stored = corpus.where("embedding is not null").select("row_id", "sort_key", F.col("embedding").alias("stored"))
     scored = (
