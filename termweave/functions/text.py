@@ -123,36 +123,41 @@ def _trigram_set(text: str) -> frozenset[str]:
 
 def best_extent(query: str, text: str) -> float:
     """Greatest Jaccard similarity between the query's trigrams and those of any contiguous
-    run of the text's trigram sequence. Both arguments are `word_text` forms."""
+    run of the text's trigram sequence. Both arguments are `word_text` forms.
+
+    A best run starts and ends with a trigram of the query. A run is given up as soon as all
+    the trigrams it could still gain would not lift it above the best one found.
+    """
     wanted = _trigram_set(query)
     n = len(wanted)
     sequence = _trigram_list(text)
     hits = [i for i, g in enumerate(sequence) if g in wanted]
     if not n or not hits:
         return 0.0
-    ceiling = len({sequence[i] for i in hits}) / n
+    later: set[str] = set()
+    gains = []  # different trigrams of the query from each hit on
+    for i in reversed(hits):
+        later.add(sequence[i])
+        gains.append(len(later))
     best = 0.0
-    previous = None
-    for start in hits:
-        if previous is not None and sequence[previous] == sequence[start] and previous == start - 1:
-            previous = start
-            continue
-        previous = start
+    for start, gain in zip(hits, reversed(gains)):
+        if gain <= best * n:
+            break
         seen: set[str] = set()
         matched = 0
         for gram in sequence[start:]:
             if gram in seen:
                 continue
             seen.add(gram)
+            united = n + len(seen) - matched
             if gram in wanted:
                 matched += 1
-                score = matched / (n + len(seen) - matched)
-                if score > best:
-                    best = score
-            elif n <= best * len(seen):
+                if matched > best * (united - 1):
+                    best = matched / (united - 1)
+                if matched == gain:
+                    break
+            elif gain <= best * united:
                 break
-        if best >= ceiling:
-            break
     return best
 
 

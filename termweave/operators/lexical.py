@@ -45,8 +45,9 @@ class LexicalIndex:
     frequencies: DataFrame
 
     def materialise(self) -> LexicalIndex:
+        """Write what is not written yet: `build_postings` has written the documents."""
         return LexicalIndex(
-            materialise(self.documents, "documents"),
+            self.documents,
             materialise(self.rows, "rows"),
             materialise(self.postings, "postings", ["kind"]),
             materialise(self.frequencies, "frequencies"),
@@ -109,6 +110,7 @@ def build_postings(corpus: DataFrame, stem: bool = True, similarity: bool = True
 
     `corpus`: source, row_id, concept_id, sort_key, sort_text, a (display or term), b, d.
     Without `similarity` no trigrams are kept, for corpora of long texts matched by words only.
+    The analysed documents are written at once, since frequencies and postings both read them.
     """
     filled = corpus.fillna("", ["a", "b", "d"])
     keyed = filled.withColumn("doc_id", F.md5(F.concat_ws("\u0001", "a", "b", "d")))
@@ -124,7 +126,7 @@ def build_postings(corpus: DataFrame, stem: bool = True, similarity: bool = True
         .withColumn("n_grams", F.size("grams"))
         .withColumn("length", F.size("entries"))
     )
-    documents = _signed(_signed(documents, "tokens", "word_sig"), "grams", "gram_sig")
+    documents = materialise(_signed(_signed(documents, "tokens", "word_sig"), "grams", "gram_sig"), "documents")
     in_doc = W.partitionBy(*DOC).orderBy(order)
     # `place` is a row's position among the rows of its text; a top-`pool` pick reads only the first `pool` of them.
     rows = keyed.select(*DOC, "row_id", "concept_id", "sort_key", "sort_text", F.row_number().over(in_doc).alias("place"))
