@@ -552,17 +552,39 @@ def review_state(spark, sf):
 
 @query(
     "approve_encounters",
-    _f3("enc") + """, u AS (SELECT encounter_id, count(*) FILTER (WHERE status <> 'approved') AS unresolved FROM state GROUP BY 1)
-    SELECT e.encounter_id, unresolved, CASE WHEN is_human_reviewed THEN 'already approved' WHEN unresolved > 0 THEN 'items still need review' END AS reason,
+    _f3("enc") + """, u AS (SELECT encounter_id, count(*) FILTER (WHERE status <> 'approved') AS unresolved, count(final_code) AS billed FROM state GROUP BY 1)
+    SELECT e.encounter_id, unresolved, billed, CASE WHEN is_human_reviewed THEN 'already approved' WHEN unresolved > 0 THEN 'items still need review' END AS reason,
     NOT is_human_reviewed AND unresolved = 0 AS allowed FROM enc e JOIN u ON u.encounter_id = e.encounter_id""",
 )
 def approve_encounters(spark, sf):
     return RV.approve_encounters(encounters(spark, sf), item_states(spark, sf))
 
 
+def review_outcome(spark, sf):
+    """Items after the replayed reviews, and their encounters as they stand before an approval."""
+    states = RV.review_state(replayed(spark, sf), item_states(spark, sf)).join(item_states(spark, sf).select("item_id", "sequence"), "item_id")
+    return encounters(spark, sf).withColumn("is_human_reviewed", F.col("review_queue") == "standard"), states
+
+
+@query(
+    "approval_items",
+    _replay_sql() + """, t AS (SELECT * FROM replay WHERE reason IS NULL AND item_id IS NOT NULL),
+    r AS (SELECT item_id, max_by(kind, seq) AS kind, nullif(CASE max_by(kind, seq) WHEN 'approve' THEN max_by(coalesce(assigned, ''), seq) WHEN 'override' THEN max_by(coalesce(code, ''), seq) END, '') AS final_code FROM t GROUP BY 1),
+    z AS (SELECT s.encounter_id, s.sequence, s.item_id, coalesce(CASE kind WHEN 'approve' THEN 'approved' WHEN 'override' THEN 'overridden' WHEN 'remove' THEN 'removed' ELSE kind END, 'pending') AS status, r.final_code
+        FROM state s LEFT JOIN r ON r.item_id = s.item_id),
+    g AS (SELECT encounter_id, count(*) FILTER (WHERE status NOT IN ('approved', 'overridden', 'removed')) = 0 AS allowed FROM z GROUP BY 1)
+    SELECT z.encounter_id, allowed, sequence, item_id, z.status, CASE WHEN allowed THEN final_code END AS final_code
+    FROM z JOIN g ON g.encounter_id = z.encounter_id JOIN enc e ON e.encounter_id = z.encounter_id
+    WHERE e.review_queue <> 'standard' AND CASE WHEN allowed THEN final_code IS NOT NULL ELSE z.status NOT IN ('approved', 'overridden', 'removed') END""",
+)
+def approval_items(spark, sf):
+    """After all reviews; the encounters of the standard queue count as approved already."""
+    return RV.approval_items(*review_outcome(spark, sf))
+
+
 def audit(spark, sf):
     items = item_states(spark, sf)
-    outcomes = items.select("encounter_id", "item_id", F.col("base_status").alias("kind"), F.to_json(F.struct("assigned_code", "flags")).alias("payload"))
+    outcomes = items.select("encounter_id", "item_id", F.col("base_status").alias("kind"), F.to_json(F.struct("assigned_code", "flags"), {"ignoreNullFields": "false"}).alias("payload"))
     return RV.audit_events(items, outcomes, replayed(spark, sf), encounters(spark, sf))
 
 
@@ -578,7 +600,24 @@ def audit_events(spark, sf):
     return audit(spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("audit_trail")
+@query(
+    "audit_trail",
+    _replay_sql() + """, t AS (SELECT *, CASE kind WHEN 'approve' THEN 'approved' WHEN 'override' THEN 'overridden' WHEN 'remove' THEN 'removed' ELSE kind END AS status,
+        CASE kind WHEN 'approve' THEN assigned WHEN 'override' THEN code END AS final_code FROM replay WHERE reason IS NULL AND item_id IS NOT NULL),
+    b AS (SELECT *, coalesce(lag(status) OVER w, 'pending') AS was, lag(final_code) OVER w AS had FROM t WINDOW w AS (PARTITION BY item_id ORDER BY seq)),
+    f AS (SELECT encounter_id, item_id, max_by(kind, seq) AS kind, max_by(coalesce(final_code, ''), seq) AS code FROM t GROUP BY 1, 2),
+    fc AS (SELECT encounter_id, list(code ORDER BY item_id) AS codes FROM f WHERE kind IN ('approve', 'override') AND code <> '' GROUP BY 1),
+    a AS (SELECT encounter_id, NULL AS item_id, 'encounter.received' AS action, NULL AS before, '{"items":{"condition":' || needed || '},"coded_item_types":["condition"]}' AS after, 0 AS stage, 0 AS at FROM needed
+      UNION ALL SELECT encounter_id, item_id, 'item.' || base_status, NULL, json_object('assigned_code', assigned_code, 'flags', string_split_regex(flags, ' '))::VARCHAR, 1, 0 FROM state WHERE flags <> ''
+      UNION ALL SELECT encounter_id, item_id, 'item.' || base_status, NULL, json_object('assigned_code', assigned_code, 'flags', []::VARCHAR[])::VARCHAR, 1, 0 FROM state WHERE flags = ''
+      UNION ALL SELECT encounter_id, NULL, 'encounter.processed', NULL, json_object('status', status, 'review_queue', review_queue)::VARCHAR, 2, 0 FROM enc
+      UNION ALL SELECT b.encounter_id, b.item_id, 'item.' || kind, json_object('status', was, 'final_code', had, 'assigned_code', assigned)::VARCHAR,
+        CASE WHEN kind = 'override' THEN json_object('final_code', final_code, 'in_candidates', c.code IS NOT NULL) ELSE json_object('final_code', final_code) END::VARCHAR, 3, seq
+        FROM b LEFT JOIN cand c ON c.item_id = b.item_id AND c.code = b.final_code WHERE kind NOT IN ('scored', 'failed', 'no_candidates')
+      UNION ALL SELECT r.encounter_id, NULL, 'encounter.approved', NULL, json_object('final_billing_codes', coalesce(codes, []::VARCHAR[]))::VARCHAR, 3, seq
+        FROM replay r LEFT JOIN fc ON fc.encounter_id = r.encounter_id WHERE kind = 'encounter.approve' AND reason IS NULL)
+    SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY stage, a."at", item_id NULLS FIRST, action) AS position FROM a""",
+)
 def audit_trail(spark, sf):
     """The trail of every encounter."""
     return RV.audit_trail(audit(spark, sf), encounters(spark, sf))

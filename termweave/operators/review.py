@@ -8,16 +8,19 @@ encounter). Everything after that attempt is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions.codes import to_dotted
+from termweave.operators.coding import CODED_TYPES
 
 SCORING = ("scored", "failed", "no_candidates")
 REVIEWS = ("approve", "override", "remove")
 APPROVAL = "encounter.approve"
 RESOLVED = {"approve": "approved", "override": "overridden", "remove": "removed"}
+ALREADY = "already approved"
+NEEDS_REVIEW = "items still need review"
 UNRESOLVED = ("pending", "scored", "no_candidates", "failed")
 
 
@@ -159,9 +162,9 @@ def apply_reviews(items: DataFrame, events: DataFrame, billable: DataFrame, cand
     closed_at = F.min(F.when(complete, F.col("seq"))).over(W.partitionBy("encounter_id"))
     e = e.withColumn("closed_at", closed_at)
     reason = (
-        F.when(F.col("seq") > F.col("closed_at"), "already approved")
+        F.when(F.col("seq") > F.col("closed_at"), ALREADY)
         .when(F.col("broken").isNotNull(), F.col("broken"))
-        .when(approval & ~complete, "items still need review")
+        .when(approval & ~complete, NEEDS_REVIEW)
     )
     final = (
         F.when(F.col("kind") == "approve", assigned).when(F.col("kind") == "override", F.col("code"))
@@ -196,45 +199,108 @@ def review_state(replayed: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def approve_encounters(encounters: DataFrame, items: DataFrame) -> DataFrame:
-    """V-08 on a snapshot: whether an encounter can be approved, why not, and its final codes."""
-    unresolved = F.col("status").isin(*UNRESOLVED)
-    gate = items.groupBy("encounter_id").agg(F.count_if(unresolved).alias("unresolved"))
+    """V-08 on a snapshot: whether an encounter can be approved, why not, and how many items and codes decide it.
+
+    The codes and the ids of unresolved items are rows of `approval_items`.
+    """
+    gate = items.groupBy("encounter_id").agg(
+        F.count_if(F.col("status").isin(*UNRESOLVED)).alias("unresolved"), F.count_if(_billed()).alias("billed")
+    )
     reason = (
-        F.when(F.col("is_human_reviewed"), "already approved")
-        .when(F.coalesce("unresolved", F.lit(0)) > 0, "items still need review")
+        F.when(F.col("is_human_reviewed"), ALREADY)
+        .when(F.coalesce("unresolved", F.lit(0)) > 0, NEEDS_REVIEW)
     )
     return (
         encounters.join(gate, "encounter_id", "left")
-        .select("encounter_id", F.coalesce("unresolved", F.lit(0)).alias("unresolved"), reason.alias("reason"))
+        .select(
+            "encounter_id", F.coalesce("unresolved", F.lit(0)).alias("unresolved"),
+            F.coalesce("billed", F.lit(0)).alias("billed"), reason.alias("reason"),
+        )
         .withColumn("allowed", F.col("reason").isNull())
     )
 
 
+def _billed() -> Column:
+    return F.col("status").isin("approved", "overridden") & (F.coalesce("final_code", F.lit("")) != "")
+
+
+def approval_items(encounters: DataFrame, items: DataFrame) -> DataFrame:
+    """V-08: what an approval returns, a row an item: (encounter_id, allowed, sequence, item_id, status, final_code).
+
+    For an encounter that can be approved, its items with a final code, which are its billing codes in order of
+    `sequence`; for one held back by unresolved items, these, without a code. One that is approved already has no rows.
+    """
+    decided = approve_encounters(encounters, items).select("encounter_id", "reason", "allowed")
+    unresolved = F.col("status").isin(*UNRESOLVED)
+    wanted = (F.col("allowed") & _billed()) | ((F.col("reason") == NEEDS_REVIEW) & unresolved)
+    return items.join(decided, "encounter_id").where(wanted).select(
+        "encounter_id", "allowed", "sequence", "item_id", "status", F.when(F.col("allowed"), F.col("final_code")).alias("final_code")
+    )
+
+
 def unresolved_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin(*UNRESOLVED)).select("encounter_id", "item_id", "status")
 
 
-def audit_events(items: DataFrame, outcomes: DataFrame, replayed: DataFrame, routed: DataFrame) -> DataFrame:
-    """V-09: one event per transition, as the union of what each stage did.
+def _json(*columns: str | Column) -> Column:
+    """A JSON object that names its empty fields too."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
-    items: encounter_id, item_id, item_type, coded. outcomes: encounter_id, item_id, kind (scored,
-    scoring_failed, failed, no_candidates), payload. routed: encounter_id, status, review_queue.
-    """
-    received = items.groupBy("encounter_id").agg(
-        F.to_json(F.struct(F.count(F.lit(1)).alias("items"), F.count_if("coded").alias("coded_items"))).alias("after")
+
+def _received(items: DataFrame, coded_types: tuple[str, ...]) -> DataFrame:
+    """What arrived with an encounter: items by type, and the types that are coded."""
+    by_type = items.groupBy("encounter_id", "item_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("item_type", "n"))))  # an entry a type
+    coded = F.array(*[F.lit(t) for t in sorted(coded_types)])
+    return by_type.groupBy("encounter_id").agg(_json(counts.alias("items"), coded.alias("coded_item_types")).alias("after"))
+
+
+def _state_before(replayed: DataFrame) -> DataFrame:
+    """Accepted item events with the item's status and final code before them."""
+    earlier = W.partitionBy("encounter_id", "item_id").orderBy("seq")
+    status = F.col("kind")
+    for action, name in RESOLVED.items():
+        status = F.when(F.col("kind") == action, name).otherwise(status)
+    return (
+        replayed.where("accepted and item_id is not null").withColumn("_status", status)
+        .withColumn("was", F.coalesce(F.lag("_status").over(earlier), F.lit("pending")))
+        .withColumn("had", F.lag("final_code").over(earlier))
+        .drop("_status")
     )
+
+
+def audit_events(
+    items: DataFrame, outcomes: DataFrame, replayed: DataFrame, routed: DataFrame, coded_types: tuple[str, ...] = CODED_TYPES
+) -> DataFrame:
+    """V-09: one event per transition with its payload, as the union of what each stage did.
+
+    items: encounter_id, item_id, item_type, coded, sequence. outcomes: encounter_id, item_id, kind (scored,
+    scoring_failed, failed, no_candidates), payload. routed: encounter_id, status, review_queue. A review's `before` is
+    the item's status, final code and assigned code; an approval's `after` the billing codes in order of `sequence`.
+    """
     none = F.lit(None).cast("string")
-    item_type = items.schema["item_id"].dataType
-    no_item = F.lit(None).cast(item_type)
+    no_item = F.lit(None).cast(items.schema["item_id"].dataType)
+    zero = F.lit(0).cast("bigint")
+    override = F.col("kind") == "override"
+    reviews = _state_before(replayed).where(~F.col("kind").isin(*SCORING))
+    final = review_state(replayed, items).join(items.select("encounter_id", "item_id", "sequence"), ["encounter_id", "item_id"])
+    approvals = replayed.where(F.col("accepted") & (F.col("kind") == APPROVAL)).select("encounter_id", F.col("seq").cast("bigint").alias("at"))
+    coded = F.transform(F.sort_array(F.collect_list(F.when(_billed(), F.struct("sequence", "final_code")))), lambda x: x["final_code"])
+    codes = final.join(approvals.select("encounter_id"), "encounter_id", "left_semi").groupBy("encounter_id").agg(coded.alias("codes"))
+    no_codes = F.array().cast("array<string>")
     parts = [
-        received.select("encounter_id", no_item.alias("item_id"), F.lit("encounter.received").alias("action"), none.alias("before"), "after", F.lit(0).alias("stage"), F.lit(0).cast("bigint").alias("at")),
-        outcomes.select("encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"), none.alias("before"), F.col("payload").alias("after"), F.lit(1).alias("stage"), F.lit(0).cast("bigint").alias("at")),
-        routed.select("encounter_id", no_item.alias("item_id"), F.lit("encounter.processed").alias("action"), none.alias("before"), F.to_json(F.struct("status", "review_queue")).alias("after"), F.lit(2).alias("stage"), F.lit(0).cast("bigint").alias("at")),
-        replayed.where(F.col("accepted") & ~F.col("kind").isin(*SCORING)).select(
-            "encounter_id", "item_id",
-            F.when(F.col("kind") == APPROVAL, "encounter.approved").otherwise(F.concat(F.lit("item."), "kind")).alias("action"),
-            F.when(F.col("kind") != APPROVAL, F.to_json(F.struct("assigned_code"))).alias("before"),
-            F.to_json(F.struct("final_code", "in_candidates")).alias("after"), F.lit(3).alias("stage"), F.col("seq").cast("bigint").alias("at"),
+        _received(items, coded_types).select("encounter_id", no_item.alias("item_id"), F.lit("encounter.received").alias("action"), none.alias("before"), "after", F.lit(0).alias("stage"), zero.alias("at")),
+        outcomes.select("encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"), none.alias("before"), F.col("payload").alias("after"), F.lit(1).alias("stage"), zero.alias("at")),
+        routed.select("encounter_id", no_item.alias("item_id"), F.lit("encounter.processed").alias("action"), none.alias("before"), _json("status", "review_queue").alias("after"), F.lit(2).alias("stage"), zero.alias("at")),
+        reviews.select(
+            "encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"),
+            _json(F.col("was").alias("status"), F.col("had").alias("final_code"), "assigned_code").alias("before"),
+            F.when(override, _json("final_code", "in_candidates")).otherwise(_json("final_code")).alias("after"),
+            F.lit(3).alias("stage"), F.col("seq").cast("bigint").alias("at"),
+        ),
+        approvals.join(codes, "encounter_id", "left").select(
+            "encounter_id", no_item.alias("item_id"), F.lit("encounter.approved").alias("action"), none.alias("before"),
+            _json(F.coalesce("codes", no_codes).alias("final_billing_codes")).alias("after"), F.lit(3).alias("stage"), "at",
         ),
     ]
     out = parts[0]
