@@ -646,6 +646,67 @@ def encounter_document(spark, sf):
     return docs.select("encounter_id", "patient_id", "status", "review_queue", F.to_json("coded_concepts").alias("coded_concepts"), F.to_json("audit_trail").alias("audit_trail"))
 
 
+@query(
+    "encounter_record",
+    _f3("enc") + """, own AS (SELECT item_id, count(*) AS n FROM cand GROUP BY 1),
+    alt AS (SELECT r.item_id, r.code, r.probability, r.search_rank, c.display, c.matched_on, row_number() OVER (PARTITION BY r.item_id ORDER BY rank) AS place
+        FROM ranked r JOIN cand c ON c.item_id = r.item_id AND c.code = r.code JOIN state s ON s.item_id = r.item_id WHERE r.code IS DISTINCT FROM s.assigned_code),
+    alts AS (SELECT item_id, string_agg(concat_ws('~', place, code, display, round(probability, 6)::DECIMAL(12, 6), search_rank, coalesce(matched_on, '-')), ';' ORDER BY place) AS alts FROM alt WHERE place <= 15 GROUP BY 1),
+    shown AS (SELECT s.*, row_number() OVER (PARTITION BY encounter_id ORDER BY sequence) - 1 AS pos, o.o_orderpriority AS text FROM state s JOIN orders o ON o.o_orderkey = s.item_id),
+    line AS (SELECT encounter_id, pos // 5 AS page, pos, concat_ws('|', sequence, s.item_id, 'condition', text, o_orderstatus, status, CASE WHEN base_status = 'failed' THEN 'not scored' ELSE '-' END,
+          CASE WHEN base_status = 'scored' THEN concat_ws('|', 'decay', 'decay-v1', s.assigned_code, c.display, round(probability, 6)::DECIMAL(12, 6), round(nota_probability, 6)::DECIMAL(12, 6), flags, coalesce(alts, ''), n) ELSE '-' END,
+          CASE WHEN status = 'approved' THEN concat_ws('|', 'approve', final_code, c.display, 'coder') ELSE '-' END) AS line,
+        final_code, CASE WHEN status IN ('scored', 'approved') THEN assigned_code END AS open_code
+        FROM shown s LEFT JOIN cand c ON c.item_id = s.item_id AND c.code = s.assigned_code LEFT JOIN alts ON alts.item_id = s.item_id LEFT JOIN own ON own.item_id = s.item_id)
+    SELECT l.encounter_id, l.page::INT AS page, replace(l.encounter_id, 'enc', 'pat') AS patient_id, any_value(e.status) AS status, any_value(e.review_queue) AS review_queue,
+      'note of ' || l.encounter_id AS soap_note, md5(string_agg(line, chr(10) ORDER BY pos)) AS items,
+      coalesce(string_agg(CASE WHEN e.is_human_reviewed THEN final_code ELSE open_code END, ' ' ORDER BY pos), '') AS codes
+    FROM line l JOIN enc e ON e.encounter_id = l.encounter_id GROUP BY 1, 2""",
+)
+def encounter_record(spark, sf):
+    """Whole records in pages of five items; the items of a page as one digest of their fields."""
+    offered = candidates(spark, sf)
+    states = item_states(spark, sf)
+    named = offered.select("item_id", F.col("code").alias("assigned_code"), F.col("display").alias("assigned_display"))
+    approved = F.col("status") == "approved"
+    items = states.join(named, ["item_id", "assigned_code"], "left").withColumns({
+        "text": F.col("o_orderpriority"), "details": F.col("o_orderstatus"), "error": F.when(F.col("base_status") == "failed", "not scored"),
+        "final_display": F.when(approved, F.col("assigned_display")), "review_action": F.when(approved, "approve"),
+        "reviewed_by": F.when(approved, "coder"), "reviewed_at": F.when(approved, F.col("o_orderdate")),
+    })
+    decided = states.where("base_status <> 'no_candidates'").select("item_id", F.when(F.col("base_status") == "scored", "succeeded").otherwise("failed").alias("status"))
+    decisions = decided.join(offered.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates_scored")), "item_id").withColumns(
+        {"engine": F.lit("decay"), "model": F.lit("decay-v1"), "latency_ms": F.lit(None).cast("double")}
+    )
+    texts = offered.select("item_id", "code", "display", "matched_on")
+    alternatives = RV.top_alternatives(states, ranked_scores(spark, sf)).join(texts, ["item_id", "code"])
+    heads = encounters(spark, sf).withColumns({
+        "soap_note": F.concat(F.lit("note of "), "encounter_id"), "department": F.lit(None).cast("string"),
+        "reviewed_by": F.when(F.col("is_human_reviewed"), "coder"), "reviewed_at": F.when(F.col("is_human_reviewed"), F.col("created_at")),
+    })
+
+    def six(c):
+        return c.cast("decimal(12,6)").cast("string")
+
+    def classified(ai):
+        others = F.transform(ai["top_alternatives"], lambda x: F.concat_ws(
+            "~", x["place"].cast("string"), x["code"], x["display"], six(x["probability"]), x["search_rank"].cast("string"), F.coalesce(x["matched_on"], F.lit("-"))))
+        return F.when(ai.isNotNull(), F.concat_ws(
+            "|", ai["engine"], ai["model"], ai["assigned_code"], ai["assigned_description"], six(ai["probability"]),
+            six(ai["none_of_the_above_probability"]), F.array_join(ai["flags"], " "), F.array_join(others, ";"), ai["candidates_scored"].cast("string"))).otherwise("-")
+
+    def reviewed(r):
+        return F.when(r["action"].isNotNull(), F.concat_ws("|", r["action"], r["final_code"], r["final_description"], r["reviewed_by"])).otherwise("-")
+
+    lines = F.transform("coded_concepts", lambda i: F.concat_ws(
+        "|", i["sequence"].cast("string"), i["item_id"].cast("string"), i["item_type"], i["text"], i["details"], i["status"],
+        F.coalesce(i["error"], F.lit("-")), classified(i["ai_classification"]), reviewed(i["review"])))
+    return RV.encounter_record(heads, items, decisions, alternatives, page_size=5).select(
+        "encounter_id", "page", "patient_id", "status", "review_queue", "clinical_input.soap_note",
+        F.md5(F.array_join(lines, "\n")).alias("items"), F.array_join("audit_trail.final_billing_codes", " ").alias("codes"),
+    )
+
+
 @query(
     "final_code_misses",
     _f3("state") + "SELECT s.encounter_id, s.item_id, s.final_code AS code FROM state s JOIN lineitem l ON l.l_orderkey = s.item_id AND FALSE "

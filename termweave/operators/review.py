@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.codes import to_dotted
 from termweave.operators.coding import CODED_TYPES
+from termweave.session import numbered
 
 SCORING = ("scored", "failed", "no_candidates")
 REVIEWS = ("approve", "override", "remove")
@@ -220,8 +221,12 @@ def approve_encounters(encounters: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _reviewed() -> Column:
+    return F.col("status").isin("approved", "overridden")
+
+
 def _billed() -> Column:
-    return F.col("status").isin("approved", "overridden") & (F.coalesce("final_code", F.lit("")) != "")
+    return _reviewed() & (F.coalesce("final_code", F.lit("")) != "")
 
 
 def approval_items(encounters: DataFrame, items: DataFrame) -> DataFrame:
@@ -347,3 +352,60 @@ def encounter_document(
     return encounters.join(coded, "encounter_id", "left").join(billing, "encounter_id", "left").select(
         "encounter_id", "patient_id", "status", "review_queue", "coded_concepts", audit.alias("audit_trail"), "created_at"
     )
+
+
+def encounter_record(
+    encounters: DataFrame, items: DataFrame, decisions: DataFrame, alternatives: DataFrame, page_size: int = 1000
+) -> DataFrame:
+    """V-03: the whole record of every encounter, as pages of `page_size` items in order of `sequence`.
+
+    encounters: encounter_id, patient_id, soap_note, department, status, review_queue, is_human_reviewed, reviewed_by,
+    reviewed_at, created_at. items: encounter_id, item_id, item_type, sequence, text, details, status, error, assigned_code,
+    assigned_display, probability, nota_probability, flags, final_code, final_display, review_action, reviewed_by,
+    reviewed_at. decisions, the active one of an item: item_id, status, engine, model, latency_ms, candidates_scored.
+    alternatives: item_id, place, code, display, probability, search_rank, matched_on.
+
+    An item has a classification only where its active decision succeeded. Billing codes are those of the page's items,
+    so no encounter is gathered into one row; one without items has a single page without any.
+    """
+    shown = alternatives.groupBy("item_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "code", "display", "probability", "search_rank", "matched_on"))).alias("alternatives")
+    )
+    made = decisions.where("status = 'succeeded'").select("item_id", "engine", "model", "latency_ms", "candidates_scored")
+    none = shown.schema["alternatives"].dataType
+    classification = F.struct(
+        "engine", "model", "assigned_code", F.col("assigned_display").alias("assigned_description"),
+        F.round("probability", 6).alias("probability"),
+        F.round(F.coalesce("nota_probability", F.lit(0.0)), 6).alias("none_of_the_above_probability"),
+        F.coalesce("flags", F.array().cast("array<string>")).alias("flags"),
+        F.coalesce("alternatives", F.array().cast(none)).alias("top_alternatives"),
+        "candidates_scored", F.round("latency_ms", 1).alias("latency_ms"),
+    )
+    review = F.struct(
+        F.col("review_action").alias("action"), "final_code", F.col("final_display").alias("final_description"), "reviewed_by", "reviewed_at"
+    )
+    item = F.struct(
+        "sequence", "item_id", "item_type", "text", "details", "status", "error",
+        F.when(F.col("engine").isNotNull(), classification).alias("ai_classification"), review.alias("review"),
+    )
+    open_code = F.when(_reviewed() | (F.col("status") == "scored"), F.coalesce("final_code", "assigned_code"))
+    paged = (
+        numbered(items, ["encounter_id"], "sequence", "_at")
+        .join(made, "item_id", "left").join(shown, "item_id", "left")
+        .groupBy("encounter_id", F.floor(F.col("_at") / page_size).cast("int").alias("page"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), item.alias("item")))).alias("_items"),
+            F.sort_array(F.collect_list(F.when(_billed(), F.struct("_at", F.col("final_code").alias("code"))))).alias("_final"),
+            F.sort_array(F.collect_list(F.when(open_code != "", F.struct("_at", open_code.alias("code"))))).alias("_open"),
+        )
+    )
+    codes = F.when(F.col("is_human_reviewed"), F.col("_final")).otherwise(F.col("_open"))
+    trail = F.struct(
+        "is_human_reviewed", "reviewed_by", "reviewed_at",
+        F.coalesce(F.transform(codes, lambda c: c["code"]), F.array().cast("array<string>")).alias("final_billing_codes"),
+    )
+    return encounters.join(paged, "encounter_id", "left").select(
+        "encounter_id", F.coalesce("page", F.lit(0)).alias("page"), "patient_id", "status", "review_queue",
+        F.struct("soap_note", "department").alias("clinical_input"),
+        F.transform("_items", lambda x: x["item"]).alias("coded_concepts"), trail.alias("audit_trail"), "created_at",
+    )
