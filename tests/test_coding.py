@@ -35,40 +35,99 @@ def test_items_in_order(spark):
     assert json.loads(items[0].details) == {"x": 1}
 
 
-def ranked(spark, codes, probabilities, nota):
-    candidates = spark.createDataFrame([(1, c, i + 1) for i, c in enumerate(codes)], "item_id int, code string, search_rank int")
-    scores = spark.createDataFrame([(1, c, p) for c, p in probabilities.items()], "item_id int, code string, probability double")
-    none = spark.createDataFrame([(1, nota)], "item_id int, nota_probability double")
-    return C.rank_scores(candidates, scores, none)
-
-
-def test_rank_scores(spark):
-    got = ranked(spark, ["10", "11", "12"], {"10": 0.2, "11": 0.7}, 0.1).orderBy("rank").collect()
-    assert [(r.code, r.probability) for r in got] == [("11", 0.7), ("10", 0.2), (None, 0.1), ("12", 0.0)]
-    tied = ranked(spark, ["11", "10"], {"10": 0.5, "11": 0.5}, 0.5).orderBy("rank").collect()
-    assert [r.code for r in tied] == ["11", "10", None]
-
-
-@pytest.mark.parametrize(("probabilities", "nota", "code", "flags"), [
-    ({"1": 0.94, "2": 0.05}, 0.01, "1", []),
-    ({"1": 0.6, "2": 0.4}, 0.0, "1", ["LOW_CONFIDENCE"]),
-    ({"1": 0.3, "2": 0.1}, 0.6, "1", ["LOW_CONFIDENCE", "NONE_OF_THE_ABOVE"]),
-    ({"1": 0.76, "2": 0.0}, 0.24, "1", ["NONE_OF_THE_ABOVE"]),
-])
-def test_assign(spark, probabilities, nota, code, flags):
-    row = C.assign(ranked(spark, ["1", "2"], probabilities, nota)).first()
-    assert (row.assigned_code, row.flags) == (code, flags)
-
-
-def test_queue_and_status(spark):
-    cases = {"a": [("scored", []), ("scored", [])], "b": [("scored", []), ("scored", ["LOW_CONFIDENCE"])], "c": [("scored", []), ("failed", [])],
-             "d": [("no_candidates", [])], "e": [("not_coded", [])], "f": [("failed", ["SCORING_FAILED"])]}
-    rows = [(k, s, f) for k, v in cases.items() for s, f in v]
-    df = spark.createDataFrame(rows, "encounter_id string, status string, flags array<string>")
-    got = {r.encounter_id: (r.review_queue, r.status) for r in C.review_queue(df).collect()}
-    ready = "ready_for_review"
-    assert got == {"a": ("standard", ready), "b": ("close_review", ready), "c": ("close_review", ready), "d": ("close_review", ready),
-                   "e": ("standard", ready), "f": ("close_review", "failed")}
+def scored_items(n=60):
+    """Random items: offered codes in search order, scores of some of them and of strangers, a "none" score or null."""
+    rng = random.Random(19)
+    for item in range(n):
+        offered = [f"K{c}" for c in rng.sample(range(40), rng.randint(0, 6))]
+        known = {c: rng.choice([0.0, 0.05, 0.3, 0.8, round(rng.random(), 3)]) for c in offered if rng.random() < 0.8}
+        yield item, offered, known, rng.choice([None, 0.0, 0.05, 0.3, round(rng.random(), 3)])
+
+
+def test_rank_and_assign_equal_a_plain_formulation(spark):
+    cases = list(scored_items())
+    offered = [(i, c, at) for i, codes, _, _ in cases for at, c in enumerate(codes, 1)]
+    said = [(i, c, p) for i, _, known, _ in cases for c, p in known.items()]
+    ranked = C.rank_scores(
+        spark.createDataFrame(offered, "item_id int, code string, search_rank int"),
+        spark.createDataFrame(said, "item_id int, code string, probability double"),
+        spark.createDataFrame([(i, n) for i, _, _, n in cases], "item_id int, nota_probability double"),
+    )
+    lists = {}
+    for r in ranked.orderBy("item_id", "rank").collect():
+        lists.setdefault(r.item_id, []).append((r.code, r.probability))
+    assigned = {r.item_id: r for r in C.assign(ranked, low=0.5, nota=0.25).collect()}
+    for item, codes, known, nota in cases:
+        nota = nota or 0.0
+        want = sorted([*((c, known.get(c, 0.0)) for c in codes), (None, nota)], key=lambda x: -x[1])  # stable: search order, then none
+        assert lists[item] == want
+        real = [x for x in want if x[0] is not None]
+        flags = ["LOW_CONFIDENCE"] * bool(real and real[0][1] < 0.5)
+        flags += ["NONE_OF_THE_ABOVE"] * bool(real and (nota >= 0.25 or (want[0][0] is None and nota > 0)))
+        got = assigned[item]
+        assert (got.assigned_code, got.flags) == ((real[0][0], flags) if real else (None, ["NO_CANDIDATES"]))
+
+
+def test_queue_and_status_of_every_mix_of_items(spark):
+    kinds = [("not_coded", []), ("scored", []), ("scored", ["F1"]), ("no_candidates", ["F2"]), ("failed", ["F3"])]
+    mixes = {f"m{bits}": [k for n, k in enumerate(kinds) if bits >> n & 1] for bits in range(1, 32)}
+    rows = [(m, *k) for m, some in mixes.items() for k in some]
+    got = C.review_queue(spark.createDataFrame(rows, "encounter_id string, status string, flags array<string>")).collect()
+    assert len(got) == 31
+    for r in got:
+        coded = [k for k in mixes[r.encounter_id] if k[0] != "not_coded"]
+        assert (r.review_queue == "close_review") == any(flags for _, flags in coded)
+        assert (r.status == "failed") == (bool(coded) and all(status == "failed" for status, _ in coded))
+
+
+ITEMS = "encounter_id string, item_id int, sequence int, item_type string, coded boolean, status string, final_code string"
+
+
+def test_approval_result_and_payloads(spark):
+    rows = [("a", 1, 2, "condition", True, "overridden", "Z"), ("a", 2, 1, "condition", True, "approved", "Y"), ("a", 3, 3, "condition", True, "removed", None),
+            ("a", 4, 4, "observation", False, "not_coded", None), ("b", 5, 1, "condition", True, "approved", "Y"), ("b", 6, 2, "condition", True, "failed", None),
+            ("c", 7, 1, "condition", True, "approved", "X")]
+    items = spark.createDataFrame(rows, ITEMS)
+    heads = spark.createDataFrame([("a", False), ("b", False), ("c", True), ("none", False)], "encounter_id string, is_human_reviewed boolean")
+    got = {r.encounter_id: (r.allowed, r.unresolved, r.billed) for r in RV.approve_encounters(heads, items).collect()}
+    assert got == {"a": (True, 0, 2), "b": (False, 1, 1), "c": (False, 0, 1), "none": (True, 0, 0)}
+    out = [tuple(r) for r in RV.approval_items(heads, items).orderBy("encounter_id", "sequence").collect()]
+    assert out == [("a", True, 1, 2, "approved", "Y"), ("a", True, 2, 1, "overridden", "Z"), ("b", False, 2, 6, "failed", None)]
+
+    events = [("a", 1, 1, "scored", "Q"), ("a", 2, 2, "scored", "Y"), ("a", 3, 3, "scored", "Q"), ("a", 1, 4, "approve", None), ("a", 1, 5, "override", "Z"),
+              ("a", 2, 6, "approve", None), ("a", 3, 7, "remove", None), ("a", None, 8, "encounter.approve", None)]
+    told = spark.createDataFrame([(*e, "who") for e in events], "encounter_id string, item_id int, seq int, kind string, code string, actor string")
+    some = items.where("encounter_id = 'a'")
+    replayed = RV.apply_reviews(some, told, spark.createDataFrame([("Z",)], "code string"), spark.createDataFrame([(1, "Q")], "item_id int, code string"))
+    routed = spark.createDataFrame([("a", "ready_for_review", "standard")], "encounter_id string, status string, review_queue string")
+    none = spark.createDataFrame([], "encounter_id string, item_id int, kind string, payload string")
+    trail = RV.audit_trail(RV.audit_events(some, none, replayed, routed), routed).orderBy("position").collect()
+    parsed = [(r.action, r.item_id, r.before and json.loads(r.before), json.loads(r.after)) for r in trail]
+    assert parsed[0] == ("encounter.received", None, None, {"items": {"condition": 3, "observation": 1}, "coded_item_types": ["condition"]})
+    assert parsed[2] == ("item.approve", 1, {"status": "scored", "final_code": None, "assigned_code": "Q"}, {"final_code": "Q"})
+    assert parsed[3] == ("item.override", 1, {"status": "approved", "final_code": "Q", "assigned_code": "Q"}, {"final_code": "Z", "in_candidates": False})
+    assert parsed[-1] == ("encounter.approved", None, None, {"final_billing_codes": ["Y", "Z"]})
+
+
+def test_record_pages(spark):
+    rows = [("e", i, 5 - i, "condition", f"t{i}", None, "scored" if i else "failed", None if i else "broke", f"C{i}" if i else None, "d", 0.5, None, [], None, None, None, None, None) for i in range(5)]
+    items = spark.createDataFrame(rows, """encounter_id string, item_id int, sequence int, item_type string, text string, details string, status string, error string,
+        assigned_code string, assigned_display string, probability double, nota_probability double, flags array<string>, final_code string, final_display string,
+        review_action string, reviewed_by string, reviewed_at timestamp""")
+    heads = spark.createDataFrame([("e", "p", "n", None, "s", "q", False, None, None, None), ("bare", "p", "n", "d", "s", "q", True, "r", None, None)],
+        """encounter_id string, patient_id string, soap_note string, department string, status string, review_queue string, is_human_reviewed boolean,
+        reviewed_by string, reviewed_at timestamp, created_at timestamp""")
+    made = spark.createDataFrame([(i, "succeeded" if i else "failed", "x", "m", 1.26, 2) for i in range(5)], "item_id int, status string, engine string, model string, latency_ms double, candidates_scored int")
+    other = spark.createDataFrame([(1, 2, "B", "b", 0.1, 3, None), (1, 1, "A", "a", 0.2, 1, "syn")], "item_id int, place int, code string, display string, probability double, search_rank int, matched_on string")
+    got = {(r.encounter_id, r.page): r for r in RV.encounter_record(heads, items, made, other, page_size=2).collect()}
+    assert set(got) == {("e", 0), ("e", 1), ("e", 2), ("bare", 0)}
+    assert [[i.item_id for i in got["e", n].coded_concepts] for n in range(3)] == [[4, 3], [2, 1], [0]]
+    assert got["e", 0].audit_trail.final_billing_codes == ["C4", "C3"] and got["e", 2].audit_trail.final_billing_codes == []
+    one = got["e", 1].coded_concepts[1]
+    assert [a.code for a in one.ai_classification.top_alternatives] == ["A", "B"] and one.ai_classification.latency_ms == 1.3
+    failed = got["e", 2].coded_concepts[0]
+    assert failed.ai_classification is None and failed.error == "broke"
+    assert not got["bare", 0].coded_concepts and got["bare", 0].audit_trail.final_billing_codes == [] and got["bare", 0].clinical_input.department == "d"
 
 
 def test_scorers(spark):
