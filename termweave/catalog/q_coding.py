@@ -91,14 +91,23 @@ def save_candidates(spark, sf):
     return saved.withColumn("variants", F.array_join("variants", " "))
 
 
-@query("code_encounters")
-def code_encounters(spark, sf):
-    """The whole batch: intake, retrieval, scoring, assignment, routing."""
-    coded = P.code_encounters(
+def _coded_batch(spark, sf):
+    return P.code_encounters(
         encounter_lines(spark, sf).select("value"), V.release(spark, sf), V.ENCODER, V.MODEL, V.DIMENSIONS,
         {}, C.SEARCH_RANK, instruction=V.INSTRUCTION,
     )
-    return coded.encounters.select("encounter_id", "patient_id", "status", "review_queue")
+
+
+@query("code_encounters")
+def code_encounters(spark, sf):
+    """The whole batch: intake, retrieval, scoring, assignment, routing."""
+    return _coded_batch(spark, sf).encounters.select("encounter_id", "patient_id", "status", "review_queue")
+
+
+@query("coding_events")
+def coding_events(spark, sf):
+    """The audit events that the batch itself emits."""
+    return _coded_batch(spark, sf).events.select("encounter_id", "item_id", "action", "after")
 
 
 # ── scoring over orders ──

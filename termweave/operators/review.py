@@ -275,39 +275,43 @@ def _state_before(replayed: DataFrame) -> DataFrame:
 
 
 def audit_events(
-    items: DataFrame, outcomes: DataFrame, replayed: DataFrame, routed: DataFrame, coded_types: tuple[str, ...] = CODED_TYPES
+    items: DataFrame, outcomes: DataFrame, replayed: DataFrame | None, routed: DataFrame, coded_types: tuple[str, ...] = CODED_TYPES
 ) -> DataFrame:
     """V-09: one event per transition with its payload, as the union of what each stage did.
 
     items: encounter_id, item_id, item_type, coded, sequence. outcomes: encounter_id, item_id, kind (scored,
     scoring_failed, failed, no_candidates), payload. routed: encounter_id, status, review_queue. A review's `before` is
-    the item's status, final code and assigned code; an approval's `after` the billing codes in order of `sequence`.
+    the item's status, final code and assigned code; an approval's `after` the billing codes in order of
+    `sequence`. Without `replayed` there are the events of a coding run alone.
     """
     none = F.lit(None).cast("string")
     no_item = F.lit(None).cast(items.schema["item_id"].dataType)
     zero = F.lit(0).cast("bigint")
-    override = F.col("kind") == "override"
-    reviews = _state_before(replayed).where(~F.col("kind").isin(*SCORING))
-    final = review_state(replayed, items).join(items.select("encounter_id", "item_id", "sequence"), ["encounter_id", "item_id"])
-    approvals = replayed.where(F.col("accepted") & (F.col("kind") == APPROVAL)).select("encounter_id", F.col("seq").cast("bigint").alias("at"))
-    coded = F.transform(F.sort_array(F.collect_list(F.when(_billed(), F.struct("sequence", "final_code")))), lambda x: x["final_code"])
-    codes = final.join(approvals.select("encounter_id"), "encounter_id", "left_semi").groupBy("encounter_id").agg(coded.alias("codes"))
-    no_codes = F.array().cast("array<string>")
     parts = [
         _received(items, coded_types).select("encounter_id", no_item.alias("item_id"), F.lit("encounter.received").alias("action"), none.alias("before"), "after", F.lit(0).alias("stage"), zero.alias("at")),
         outcomes.select("encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"), none.alias("before"), F.col("payload").alias("after"), F.lit(1).alias("stage"), zero.alias("at")),
         routed.select("encounter_id", no_item.alias("item_id"), F.lit("encounter.processed").alias("action"), none.alias("before"), _json("status", "review_queue").alias("after"), F.lit(2).alias("stage"), zero.alias("at")),
-        reviews.select(
-            "encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"),
-            _json(F.col("was").alias("status"), F.col("had").alias("final_code"), "assigned_code").alias("before"),
-            F.when(override, _json("final_code", "in_candidates")).otherwise(_json("final_code")).alias("after"),
-            F.lit(3).alias("stage"), F.col("seq").cast("bigint").alias("at"),
-        ),
-        approvals.join(codes, "encounter_id", "left").select(
-            "encounter_id", no_item.alias("item_id"), F.lit("encounter.approved").alias("action"), none.alias("before"),
-            _json(F.coalesce("codes", no_codes).alias("final_billing_codes")).alias("after"), F.lit(3).alias("stage"), "at",
-        ),
     ]
+    if replayed is not None:
+        override = F.col("kind") == "override"
+        reviews = _state_before(replayed).where(~F.col("kind").isin(*SCORING))
+        final = review_state(replayed, items).join(items.select("encounter_id", "item_id", "sequence"), ["encounter_id", "item_id"])
+        approvals = replayed.where(F.col("accepted") & (F.col("kind") == APPROVAL)).select("encounter_id", F.col("seq").cast("bigint").alias("at"))
+        coded = F.transform(F.sort_array(F.collect_list(F.when(_billed(), F.struct("sequence", "final_code")))), lambda x: x["final_code"])
+        codes = final.join(approvals.select("encounter_id"), "encounter_id", "left_semi").groupBy("encounter_id").agg(coded.alias("codes"))
+        no_codes = F.array().cast("array<string>")
+        parts += [
+            reviews.select(
+                "encounter_id", "item_id", F.concat(F.lit("item."), "kind").alias("action"),
+                _json(F.col("was").alias("status"), F.col("had").alias("final_code"), "assigned_code").alias("before"),
+                F.when(override, _json("final_code", "in_candidates")).otherwise(_json("final_code")).alias("after"),
+                F.lit(3).alias("stage"), F.col("seq").cast("bigint").alias("at"),
+            ),
+            approvals.join(codes, "encounter_id", "left").select(
+                "encounter_id", no_item.alias("item_id"), F.lit("encounter.approved").alias("action"), none.alias("before"),
+                _json(F.coalesce("codes", no_codes).alias("final_billing_codes")).alias("after"), F.lit(3).alias("stage"), "at",
+            ),
+        ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

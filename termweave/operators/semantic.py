@@ -82,11 +82,12 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[], Encoder]:
 
 
 def embed_batches(
-    pending: DataFrame, model: str, encoder_factory: Callable[[], Encoder], dimensions: int, batch: int = BATCH
+    pending: DataFrame, model: str, encoder_factory: Callable[[], Encoder], dimensions: int, batch: int = BATCH, isolate: bool = False
 ) -> DataFrame:
     """S-03: (source, row_id, model, embedding); the encoder is built once per task.
 
-    Raises when the encoder returns another number of vectors or another dimension (S-05).
+    Raises when the encoder fails or returns another number of vectors or another dimension (S-05). With `isolate` the
+    texts of such a batch are encoded one by one, and one that fails by itself has no vector but an `error`.
     """
     schema = T.StructType(
         [
@@ -94,22 +95,44 @@ def embed_batches(
             T.StructField("row_id", pending.schema["row_id"].dataType),
             T.StructField("model", T.StringType()),
             T.StructField("embedding", T.ArrayType(T.FloatType())),
+            *[T.StructField("error", T.StringType())] * isolate,
         ]
     )
 
+    def vectors_of(encoder: Encoder, texts: list[str]) -> list[np.ndarray]:
+        vectors = [np.asarray(v, dtype=np.float32) for v in encoder(texts)]
+        if len(vectors) != len(texts):
+            raise ValueError(f"encoder returned {len(vectors)} vectors for {len(texts)} texts")
+        if any(len(v) != dimensions for v in vectors):
+            raise ValueError(f"encoder vectors are not of dimension {dimensions}")
+        return vectors
+
+    def one_by_one(encoder: Encoder, texts: list[str]) -> tuple[list[np.ndarray | None], list[str | None]]:
+        vectors: list[np.ndarray | None] = []
+        errors: list[str | None] = []
+        for text in texts:
+            try:
+                vectors += vectors_of(encoder, [text])
+                errors.append(None)
+            except Exception as exc:  # one bad text must not sink the batch
+                vectors.append(None)
+                errors.append(f"{type(exc).__name__}: {exc}"[:500])
+        return vectors, errors
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_factory()
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                vectors = [np.asarray(v, dtype=np.float32) for v in encoder(part["text"].tolist())]
-                if len(vectors) != len(part):
-                    raise ValueError(f"encoder returned {len(vectors)} vectors for {len(part)} texts")
-                if any(len(v) != dimensions for v in vectors):
-                    raise ValueError(f"encoder vectors are not of dimension {dimensions}")
-                yield pd.DataFrame(
-                    {"source": part["source"], "row_id": part["row_id"], "model": model, "embedding": vectors}
-                )
+                texts, errors = part["text"].tolist(), [None] * len(part)
+                try:
+                    vectors = vectors_of(encoder, texts)
+                except Exception:
+                    if not isolate:
+                        raise
+                    vectors, errors = one_by_one(encoder, texts)
+                out = {"source": part["source"], "row_id": part["row_id"], "model": model, "embedding": pd.Series(vectors, index=part.index, dtype=object)}
+                yield pd.DataFrame(out | ({"error": pd.Series(errors, index=part.index, dtype=object)} if isolate else {}))
 
     return pending.select("source", "row_id", "text").mapInPandas(encode, schema)
 

@@ -103,16 +103,20 @@ def build_release(
 
 
 def embed_queries(
-    queries: DataFrame, encoder_factory: Callable[[], semantic.Encoder], model: str, dimensions: int, instruction: str = ""
+    queries: DataFrame, encoder_factory: Callable[[], semantic.Encoder], model: str, dimensions: int, instruction: str = "",
+    isolate: bool = False,
 ) -> DataFrame:
     """Adds `embedding` to (query_id, query); a text asked many times is encoded once.
 
+    With `isolate` a query that the encoder fails on has no vector but an `error`, and the others are not affected.
+
     The result is written, because searches read it several times and count it to size their blocks.
     """
     texts = semantic.query_instruction(queries.select("query").distinct(), instruction)
     todo = texts.select(F.lit(-1).alias("source"), F.col("query").alias("row_id"), "text")
-    vectors = semantic.embed_batches(todo, model, encoder_factory, dimensions)
-    return materialise(queries.join(vectors.select(F.col("row_id").alias("query"), "embedding"), "query"), "embedded-queries")
+    vectors = semantic.embed_batches(todo, model, encoder_factory, dimensions, isolate=isolate)
+    found = vectors.select(F.col("row_id").alias("query"), "embedding", *["error"] * isolate)
+    return materialise(queries.join(found, "query"), "embedded-queries")
 
 
 def rank_candidates(rows: DataFrame, release: Release, options: SearchOptions) -> DataFrame:

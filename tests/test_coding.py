@@ -130,6 +130,46 @@ def test_record_pages(spark):
     assert not got["bare", 0].coded_concepts and got["bare", 0].audit_trail.final_billing_codes == [] and got["bare", 0].clinical_input.department == "d"
 
 
+def test_one_failed_search_does_not_sink_the_batch(spark, sf):
+    from termweave.catalog import views as V
+
+    def factory():
+        plain = V.ENCODER()
+
+        def encode(texts):
+            if any("explode" in t for t in texts):
+                raise RuntimeError("remote refused")
+            return plain(texts)
+
+        return encode
+
+    def scorer():
+        def score(note, text, options):
+            if text.startswith("large"):
+                raise ValueError("no answer")
+            return {"model": "m", "probabilities": {o["code"]: 0.9 if o["search_rank"] == 1 else 0.0 for o in options}, "nota_probability": 0.1}
+
+        return score
+
+    def doc(number, *texts):
+        return {"encounter_id": f"e{number}", "patient_id": "p", "soap_note": "n", "conditions": [{"text": t} for t in texts], "observations": [{"text": "o"}]}
+
+    term = V.eval_queries(spark, sf).orderBy("query").first().query
+    docs = [doc(1, "explode now"), doc(2, term, "explode now"), doc(3, term), doc(4, "large " + term)]
+    out = intake.code_encounters(lines(spark, docs), V.release(spark, sf), factory, V.MODEL, V.DIMENSIONS, {"x": scorer}, "x")
+    items = {(r.encounter_id, r.sequence): r for r in out.items.collect()}
+    assert {k: r.status for k, r in items.items()} == {
+        ("e1", 1): "failed", ("e1", 2): "not_coded", ("e2", 1): "scored", ("e2", 2): "failed", ("e2", 3): "not_coded",
+        ("e3", 1): "scored", ("e3", 2): "not_coded", ("e4", 1): "failed", ("e4", 2): "not_coded"}
+    assert items["e1", 1].error == "RuntimeError: remote refused" and items["e1", 1].flags == ["SCORING_FAILED"] and "no answer" in items["e4", 1].error
+    assert items["e3", 1].error is None and items["e3", 1].assigned_code
+    assert {r.encounter_id: (r.status, r.review_queue) for r in out.encounters.collect()} == {
+        "e1": ("failed", "close_review"), "e2": ("ready_for_review", "close_review"), "e3": ("ready_for_review", "standard"), "e4": ("failed", "close_review")}
+    events = sorted((r.encounter_id, r.action) for r in out.events.collect())
+    coded = {"e1": ["item.failed"], "e2": ["item.failed", "item.scored"], "e3": ["item.scored"], "e4": ["item.scoring_failed"]}
+    assert events == sorted((e, a) for e, some in coded.items() for a in ["encounter.received", "encounter.processed", *some])
+
+
 def test_scorers(spark):
     candidates = spark.createDataFrame([(i, f"C{r}", f"d{r}", r) for i in (1, 2) for r in (3, 1, 2)], "item_id int, code string, display string, search_rank int")
     sums = C.score_search_rank(candidates).groupBy("item_id").agg(F.sum("probability").alias("s")).collect()
