@@ -268,6 +268,29 @@ def replace_index_terms(spark, sf):
     return spark.read.schema(terms.schema).parquet(path).select(F.col("version").cast("string").alias("version"), "term", "via_see")
 
 
+@query(
+    "publish_release",
+    with_ctes("concept_all", "index_term") + """SELECT 'concepts' AS name, version, count(*) AS n, count(*) FILTER (WHERE version = '2026') AS renamed
+    FROM concept_all WHERE version = '2027' OR is_billable GROUP BY 1, 2
+    UNION ALL SELECT 'terms', '2027', count(*), 0 FROM index_term UNION ALL SELECT 'terms', '2026', count(*), count(*) FROM index_term""",
+)
+def publish_release(spark, sf):
+    """Both releases with their terms, then the earlier one anew: what readers of the two tables see."""
+    path = scratch_path(spark, "published")
+    both, terms = V.concepts(spark, sf, None).drop("notes"), V.index_terms(spark, sf)
+    old_terms = terms.withColumn("version", F.lit("2026"))
+    TB.publish_release({"concepts": (both, "code"), "terms": (terms.unionByName(old_terms), "term")}, path, 1)
+    again = both.where("version = '2026' and is_billable").withColumn("display", F.concat(F.lit("again: "), "display"))
+    TB.publish_release({"concepts": (again, "code"), "terms": (old_terms.withColumn("term", F.concat(F.lit("again: "), "term")), "term")}, path, 2)
+    seen = [
+        TB.read_release(spark, path, name, rows.schema).groupBy("version").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).startswith("again: ")).alias("renamed")
+        ).select(F.lit(name).alias("name"), "version", "n", "renamed")
+        for name, rows, text in (("concepts", both, "display"), ("terms", terms, "term"))
+    ]
+    return seen[0].unionByName(seen[1])
+
+
 def _systems(spark, sf, table_name, key, name, when):
     t = V.table(spark, sf, table_name)
     return t.select(

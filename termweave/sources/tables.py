@@ -46,6 +46,49 @@ def replace_release(rows: DataFrame, path: str, key: str, rows_per_file: int = 2
     )
 
 
+MANIFEST = "load bigint, canonical_url string, version string"
+
+
+def publish_release(tables: dict[str, tuple[DataFrame, str]], path: str, load: int) -> None:
+    """IO-07, IO-08: the tables of one or more releases become visible together.
+
+    `tables`: name -> (rows, key). Each is written under a folder of `load`, a number above all earlier ones; the rows of the
+    manifest come last, in one file. A load that fails before leaves what `read_release` returns as it was, and may be
+    repeated under its number; one that is in the manifest is refused.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    newest = _manifest(spark, path).agg(F.max("load")).first()[0]
+    if newest is not None and load <= newest:
+        raise ValueError(f"load {load} is not above {newest}, the newest one published")
+    releases = None
+    for name, (rows, key) in tables.items():
+        replace_release(rows, f"{path}/{name}/load={load}", key)
+        found = rows.select(*RELEASE).distinct()
+        releases = found if releases is None else releases.unionByName(found)
+    entry = releases.distinct().select(F.lit(load).cast("bigint").alias("load"), *RELEASE)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")  # a row a release
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def read_release(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """The rows of table `name` as the newest published load of each release left them; empty without a load.
+
+    A table that the newest load of a release did not bring has no rows of it.
+    """
+    current = _manifest(spark, path).groupBy(*RELEASE).agg(F.max("load").alias("load"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(T.StructType([*schema, T.StructField("load", T.LongType())])).parquet(f"{path}/{name}")
+    return stored.join(current, [*RELEASE, "load"], "left_semi").select(*schema.fieldNames())
+
+
 def upsert_code_system(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """IO-09: insert by (url, version); a known release keeps its id and creation time and becomes active.
 

@@ -73,6 +73,29 @@ def test_replace_leaves_other_releases(spark, tmp_path):
     assert sorted(r.code for r in spark.read.parquet(path).collect()) == ["A", "C"]
 
 
+def test_a_load_that_fails_between_two_tables_leaves_the_old_release(spark, tmp_path):
+    path, schema = str(tmp_path / "published"), "canonical_url string, version string, code string"
+
+    def rows(*some):
+        return spark.createDataFrame(some, schema)
+
+    def seen():
+        return {n: sorted((r.version, r.code) for r in TB.read_release(spark, path, n, rows().schema).collect()) for n in ("concepts", "terms")}
+
+    assert seen() == {"concepts": [], "terms": []}
+    TB.publish_release({"concepts": (rows(("u", "01", "A"), ("u", "2", "B")), "code"), "terms": (rows(("u", "01", "a"), ("u", "2", "b")), "code")}, path, 1)
+    before = {"concepts": [("01", "A"), ("2", "B")], "terms": [("01", "a"), ("2", "b")]}
+    assert seen() == before
+    broken = rows(("u", "2", "c")).selectExpr("canonical_url", "version", "CAST(raise_error('disk full') AS STRING) AS code")
+    with pytest.raises(Exception, match="disk full"):
+        TB.publish_release({"concepts": (rows(("u", "2", "C")), "code"), "terms": (broken, "code")}, path, 2)
+    assert seen() == before
+    TB.publish_release({"concepts": (rows(("u", "2", "D")), "code"), "terms": (rows(("u", "2", "d")), "code")}, path, 2)
+    assert seen() == {"concepts": [("01", "A"), ("2", "D")], "terms": [("01", "a"), ("2", "d")]}
+    with pytest.raises(ValueError, match="not above"):
+        TB.publish_release({"concepts": (rows(("u", "2", "E")), "code")}, path, 2)
+
+
 def test_release_errors(spark):
     order = spark.createDataFrame([("2030", "Q10")], "version string, code string")
     tabular = spark.createDataFrame([("2031", "Q10")], "version string, code string")
