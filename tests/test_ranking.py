@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.operators import ranking as R
 
@@ -134,3 +135,25 @@ def test_ranking_plans_have_no_nested_loop(spark, world):
     merged = R.merge_candidates(spark.createDataFrame(rows, ROWS), spark.createDataFrame(concepts, CONCEPTS))
     plan = R.expand_to_billable(merged, spark.createDataFrame(expansion, EXPANSION))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_fused_lists_are_placed_once(spark, world):
+    """One exchange a method, of the candidates; the widened lists are neither shuffled by key nor by query again."""
+    rows, concepts, expansion = world
+
+    def hits():
+        merged = R.merge_candidates(spark.createDataFrame(rows, ROWS), F.broadcast(spark.createDataFrame(concepts, CONCEPTS)))
+        return R.as_hits(R.expand_to_billable(merged, spark.createDataFrame(expansion, EXPANSION)))
+
+    plan = R.rrf_fuse(hits(), hits(), by_stem=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_fuse_with_repeated_and_missing_keys(spark):
+    """A repeated code meets each of the other list's; a row without a query or a code meets none."""
+    hits = [(0, 1, 1, "A", 1), (0, 2, 2, "A", 2), (0, 3, 3, None, 3), (None, 1, 1, "A", 1)]
+    table = spark.createDataFrame([(*h, 1.0, None, []) for h in hits], HITS)
+    fused = R.rrf_fuse(table, table, by_stem=False)
+    got = sorted((str(r.query_id), str(r.code), str(r.text_rank), str(r.semantic_rank)) for r in fused.collect())
+    pairs = [("0", "A", t, s) for t in "12" for s in "12"]
+    assert got == sorted([*pairs, ("0", "None", "3", "None"), ("0", "None", "None", "3"), ("None", "A", "1", "None"), ("None", "A", "None", "1")])
