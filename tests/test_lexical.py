@@ -150,3 +150,11 @@ def test_every_copy_of_a_text_is_a_match(spark):
     assert L.text_candidates(asked, index, pool=500, stem=False).count() == 300
     assert L.text_candidates(asked, index, pool=7, stem=False).count() == 7
     assert index.documents.first().length == 3  # a repeated word counts
+
+
+def test_stems_of_word_arrays(spark):
+    """Every word of a batch is stemmed in its place; empty and missing arrays stay what they are."""
+    lists = [["running", "cities", "running"], [], None, ["a", "hoping"], ["cities"]]
+    table = spark.createDataFrame([(i, ws) for i, ws in enumerate(lists)], "i int, ws array<string>").coalesce(1)
+    got = dict(table.select("i", X.stem_words("ws")).collect())
+    assert got == {i: None if ws is None else [porter(w) for w in ws] for i, ws in enumerate(lists)}
