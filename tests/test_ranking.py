@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from termweave import session
 from termweave.operators import ranking as R
 
 ROWS = "query_id int, concept_id long, score double, matched_on string, source int, source_rank int"
@@ -157,3 +158,14 @@ def test_fuse_with_repeated_and_missing_keys(spark):
     got = sorted((str(r.query_id), str(r.code), str(r.text_rank), str(r.semantic_rank)) for r in fused.collect())
     pairs = [("0", "A", t, s) for t in "12" for s in "12"]
     assert got == sorted([*pairs, ("0", "None", "3", "None"), ("0", "None", "None", "3"), ("None", "A", "1", "None"), ("None", "A", "None", "1")])
+
+
+def test_tasks_follow_the_bytes_read(spark, tmp_path):
+    """Lists are placed over more tasks when their table is larger, wherever its files lie."""
+    path = str(tmp_path / "a table")
+    spark.range(1000).repartition(2).write.parquet(path)
+    table = spark.read.parquet(path)
+    files = list((tmp_path / "a table").glob("*.parquet"))
+    assert session.input_bytes(table) == sum(f.stat().st_size for f in files) > 0
+    assert session.input_bytes(spark.createDataFrame([(1,)], "id int")) == 0
+    assert session.spread(table, table, "id").rdd.getNumPartitions() == session.width(spark)
