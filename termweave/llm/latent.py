@@ -1,7 +1,8 @@
 """Benchmark decontamination: passages near an item in a latent space, then longest common subsequence and answer checks.
 
-1. Document frequencies of the items' words over all documents give the TF-IDF weights.
-2. A randomised SVD of TF-IDF passages: Spark sums A'(A R) for a random R over a hashed, bounded sample of corpus passages and all
+1. Every document is read once as ids of the items' words; documents with equal ids are counted, fitted and judged once.
+   Document frequencies of the words over all documents give the TF-IDF weights.
+2. A randomised SVD of TF-IDF passages: Spark sums A'(A R) for a random R over the passages of all different documents and all
    items; its orthonormal basis, turned by the small matrix of the second pass, holds the leading right singular vectors.
 3. Every document is read in windows; window vectors are differences of running sums of word vectors. Wide windows, one every
    twelve words, whose cosine with an item reaches `coarse` are read again in finer ones, 12 to 48 words wide and one every four
@@ -12,7 +13,8 @@
    follow each other. Items below `least_exact` words would meet by chance: only a text that is the item leaks it.
 
 Items are taken in blocks bounded by items and by different words, `blocks` of them at a time (a stated query set against all
-rows). Each such round reads the documents twice, once for frequencies and once for the search; the sample is written once.
+rows). Each such round writes the documents' ids, and reads them once for frequencies, twice a block for the fit and once for the
+search (`clean` reads the texts again there).
 The driver holds the vectors of a block's words and never a matrix of items by words.
 
 Defined results: words are lower-cased runs without punctuation; in scripts without blanks every character is a word. Null and
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -34,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import texts, written
+from termweave.llm.common import discard, texts, written
+from termweave.session import width as width_of
 
 _LETTERS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 #: Scripts written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han), and punctuation beyond ASCII.
@@ -43,6 +46,7 @@ _MARKS = re.compile("[\u2010-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]+")
 _SEGMENT = 12 << 10
 _POSTED = 2 << 10
 _PAIRS = 2048
+_GATHERED = 8 << 10
 
 
 @dataclass(frozen=True)
@@ -102,27 +106,54 @@ def _ids(index: dict[bytes, int], text: bytes) -> np.ndarray:
     return np.array(list(map(index.get, words_of(text), repeat(len(index)))), np.int32)
 
 
-def _frequencies(docs: DataFrame, text: str, words: tuple[bytes, ...]) -> tuple[np.ndarray, int]:
+def _kind(words: tuple[bytes, ...]) -> type:
+    """The smallest type for ids of some words and the id of all others."""
+    return np.uint16 if len(words) < 1 << 16 else np.uint32
+
+
+def _read(docs: DataFrame, text: str, words: tuple[bytes, ...]) -> DataFrame:
+    """The documents with `ids`, the ids of a text's words as bytes, and `digest`, equal for equal ids; in place of the text."""
+
+    @F.arrow_udf(T.BinaryType())
+    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index, kind = {w: i for i, w in enumerate(words)}, _kind(words)
+        for values in columns:
+            yield pa.array([_ids(index, v.as_py() or b"").astype(kind).tobytes() for v in values.cast(pa.large_binary())], pa.binary())
+
+    return docs.withColumn("ids", ids(F.col(text))).drop(text).withColumn("digest", F.md5("ids"))
+
+
+def _different(read: DataFrame) -> DataFrame:
+    """Each different sequence of ids with `n`, the documents that have it."""
+    return read.groupBy("digest").agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
+def _frequencies(different: DataFrame, words: tuple[bytes, ...]) -> tuple[np.ndarray, int]:
     """Documents that hold each word, and all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(words)}
         total = np.zeros(len(words) + 2, np.int64)
         for batch in batches:
-            for value in texts(batch, text):
-                total[-1] += 1
-                total[np.fromiter({index.get(w, len(index)) for w in set(words_of(value))}, np.int64)] += 1
+            for value, n in zip(texts(batch, "ids"), batch.column("n").to_pylist(), strict=True):
+                total[-1] += n
+                total[np.unique(np.frombuffer(value, _kind(words)))] += n
         yield pa.record_batch({"word": np.arange(len(total)), "n": total})
 
-    rows = docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # one per word
+    rows = different.select("ids", "n").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # one per word
     total = np.zeros(len(words) + 2, np.int64)
     total[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return total[:-2], int(total[-1])
 
 
-def _range_product(sample: DataFrame, text: str, words: tuple[bytes, ...], weights: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    """A'(A right) over the passages of the sample, summed by Spark; one row per word comes back, as an array."""
-    columns = right.shape[1]
+def _places(words: tuple[bytes, ...], block: tuple[bytes, ...]) -> np.ndarray:
+    """The ids in a block of the ids of some words; words that the block has not share its last one."""
+    index = {w: i for i, w in enumerate(block)}
+    return np.array([*(index.get(w, len(block)) for w in words), len(block)], np.int32)
+
+
+def _range_product(different: DataFrame, places: np.ndarray, kind: type, weights: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """A'(A right) over the passages of all different documents, summed by Spark; one row per word comes back, as an array."""
+    size, columns = right.shape
     right = (weights[:, None] * right).astype(np.float32)
 
     def rows(total: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -130,39 +161,64 @@ def _range_product(sample: DataFrame, text: str, words: tuple[bytes, ...], weigh
         return pa.record_batch({"i": pa.array(at, pa.int64()), "x": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * columns, pa.int32()), flat)})
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(words)}
-        total = np.zeros((len(words) + 1, columns))
+        total = np.zeros((size, columns))
+        held: list[np.ndarray] = []
+        passages = 0
+
+        def add() -> None:
+            """Adds the passages of the held documents: their sums of word vectors, to each of their words."""
+            ids = places[np.concatenate(held)]
+            passage = np.concatenate([np.arange(len(h)) // width for h in held])
+            passage += np.repeat(np.cumsum([0, *(-(-len(h) // width) for h in held[:-1])]), [len(h) for h in held])
+            at = np.flatnonzero(ids < size)
+            ids, passage = ids[at], passage[at]
+            for low in range(0, len(ids), _GATHERED):
+                # whole passages only: a cut falls where the next passage begins
+                a, b = (int(np.searchsorted(passage, passage[c])) if c < len(ids) else len(ids) for c in (low, low + _GATHERED))
+                if a == b:
+                    continue
+                own, mine = ids[a:b], passage[a:b]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                sums = np.add.reduceat(right.take(own, axis=0), first, axis=0)
+                mine = np.cumsum(np.diff(mine, prepend=mine[0]) > 0)
+                order = np.argsort(own, kind="stable")
+                word, begin = np.unique(own[order], return_index=True)
+                total[word] += np.add.reduceat(sums.take(mine[order], axis=0), begin, axis=0)
+
         for batch in batches:
-            for value in texts(batch, text):
-                ids = _ids(index, value)
-                at = np.flatnonzero(ids < len(words))
-                if not len(at):
+            for value in texts(batch, "ids"):
+                if not value:
                     continue
-                passage, ids = at // width, ids[at]
-                first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                sums = np.add.reduceat(right.take(ids, axis=0), first, axis=0)
-                mine = np.cumsum(np.r_[0, passage[1:] != passage[:-1]])
-                order = np.argsort(ids, kind="stable")
-                word, begin = np.unique(ids[order], return_index=True)
-                total[word] += np.add.reduceat(sums[mine[order]], begin, axis=0)
-        yield rows(total, np.flatnonzero(total[:-1].any(axis=1)))
+                held.append(np.frombuffer(value, kind))
+                passages += len(held[-1])
+                if passages >= _SEGMENT:
+                    add()
+                    held, passages = [], 0
+        if held:
+            add()
+        yield rows(total, np.flatnonzero(total.any(axis=1)))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(words), columns))
+        total = np.zeros((size, columns))
         for batch in batches:
             np.add.at(total, batch.column("i").to_numpy(), batch.column("x").flatten().to_numpy().reshape(-1, columns))
         yield rows(total, np.flatnonzero(total.any(axis=1)))
 
-    kind = "i bigint, x array<double>"
-    parts = sample.select(text).mapInArrow(partial, kind).repartition(4, "i").mapInArrow(summed, kind).toArrow()
-    product = np.zeros((len(words), columns))
+    result = "i bigint, x array<double>"
+    # a bounded number of partial sums, each of up to a row per word, however many documents there are
+    bounded = different.select("ids").coalesce(width_of(different.sparkSession))
+    parts = bounded.mapInArrow(partial, result).repartition(4, "i").mapInArrow(summed, result).toArrow()
+    product = np.zeros((size, columns))
     for batch in parts.to_batches():
         product[batch.column("i").to_numpy()] = batch.column("x").flatten().to_numpy().reshape(-1, columns)
     return weights[:, None] * product
 
 
 def sampled(docs: DataFrame, text: str, options: Options) -> DataFrame:
-    """About `sample_documents` different texts by hash, each once, however often a text repeats."""
+    """About `sample_documents` different texts by hash, each once, however often a text repeats.
+
+    For a look at a corpus only: the search is fitted to all documents.
+    """
     usable = docs.select(text).filter(F.col(text).isNotNull() & (F.octet_length(text) <= options.sample_bytes))
     different = usable.agg(F.approx_count_distinct(F.xxhash64(text)).alias("n")).first()["n"]
     share = min(1.0, options.sample_documents / max(1, different))
@@ -191,16 +247,20 @@ def _items(block: list[tuple[int, str]]) -> _Items:
     return _Items(words, tuple(i for i, _, _ in split), tuple(tuple(index[w] for w in ws) for _, ws, _ in split), tuple(_answer_size(t) for _, _, t in split))
 
 
-def fit(sample: DataFrame, items: _Items, held: np.ndarray, n: int, text: str = "text", options: Options = Options()) -> Space:
-    """The latent space of one block of items; `held` of `n` documents hold each of its words."""
+def fit(different: DataFrame, known: tuple[bytes, ...], items: _Items, held: np.ndarray, n: int, options: Options = Options()) -> Space:
+    """The latent space of one block of items; `held` of `n` documents hold each of its words.
+
+    `different` has each different document as ids of the `known` words.
+    """
     words, chunk = items.words, 256
+    places = _places(known, words)
     weights = np.log((n + 1.0) / (held + 1.0)) + 0.05
     # no more directions than items: the rest would be the corpus alone, and levelling would make it count
     rank = min(options.rank, len(words), max(1, sum(len(r) >= options.least_words for r in items.rows)))
     right = np.random.default_rng(options.seed).standard_normal((len(words), min(len(words), rank + options.extra)))
     chunks = [range(a, min(a + chunk, len(items.rows))) for a in range(0, len(items.rows), chunk)]
     for _ in range(2):
-        corpus = _range_product(sample, text, words, weights, right, options.coarse_widths[-1])
+        corpus = _range_product(different, places, _kind(known), weights, right, options.coarse_widths[-1])
         weighted, mine = weights[:, None] * right, np.zeros_like(right)
         for rows in chunks:
             own = items.product(weighted, rows)
@@ -436,7 +496,11 @@ class Matcher:
         return [(self.space.item_ids[i], common, len(self.space.items[i]), cosine) for i, (common, cosine) in sorted(best.items())]
 
     def leaks_in(self, bodies: list[bytes]) -> Iterator[list[tuple[int, int, int, float]]]:
-        """(item_id, common words, item words, cosine) of the items each text leaks.
+        """(item_id, common words, item words, cosine) of the items each text leaks."""
+        return self.leaks_among(_ids(self.index, body) for body in bodies)
+
+    def leaks_among(self, documents: Iterable[np.ndarray]) -> Iterator[list[tuple[int, int, int, float]]]:
+        """The same of texts given as word ids.
 
         Short texts are searched together, with unknown words between them that no window reaches across.
         """
@@ -454,8 +518,7 @@ class Matcher:
             for ids, found in zip(held, near, strict=True):
                 yield self._judged(ids, found)
 
-        for body in bodies:
-            ids = _ids(self.index, body)
+        for ids in documents:
             if held and size + len(ids) > _SEGMENT:
                 yield from judged()
                 held, size = [], 0
@@ -483,31 +546,49 @@ def _blocks(benchmark: DataFrame, item: str, text: str, options: Options) -> Ite
         yield _items(held)
 
 
-def _rounds(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, options: Options) -> Iterator[list[Space]]:
+@dataclass(frozen=True)
+class _Round:
+    """A few blocks of items, and the documents in their words."""
+
+    words: tuple[bytes, ...]
+    read: DataFrame
+    different: DataFrame
+    spaces: list[Space]
+
+    def discard(self) -> None:
+        discard(self.read)
+        discard(self.different)
+
+
+def _rounds(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, options: Options) -> Iterator[_Round]:
     """The spaces of a few blocks at a time."""
-    sample, todo = None, []
+    todo: list[_Items] = []
 
-    def spaces() -> list[Space]:
+    def fitted() -> _Round:
         words = tuple(sorted({w for block in todo for w in block.words}))
-        held, n = _frequencies(docs, text, words)
+        read = written(_read(docs, text, words), "latent-read")
+        different = written(_different(read), "latent-different")
+        held, n = _frequencies(different, words)
         index = {w: i for i, w in enumerate(words)}
-        return [fit(sample, block, held[[index[w] for w in block.words]], n, text, options) for block in todo]
+        spaces = [fit(different, words, block, held[[index[w] for w in block.words]], n, options) for block in todo]
+        return _Round(words, read, different, spaces)
 
     for block in _blocks(benchmark, item, item_text, options):
-        sample = sample or written(sampled(docs, text, options), "latent-sample")
         todo.append(block)
         if len(todo) == options.blocks:
-            yield spaces()
+            yield fitted()
             todo = []
     if todo:
-        yield spaces()
+        yield fitted()
 
 
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("common", T.LongType()), T.StructField("words", T.LongType()), T.StructField("cosine", T.DoubleType())]))
 
 
-def leaked(text: Column, spaces: list[Space], options: Options = Options()) -> Column:
-    """The items of some blocks that a text leaks, as an array."""
+def leaked(text: Column, spaces: list[Space], options: Options = Options(), known: tuple[bytes, ...] | None = None) -> Column:
+    """The items of some blocks that a text leaks, as an array; with `known`, the text is given as ids of these words."""
+    places = None if known is None else [_places(known, space.words) for space in spaces]
+    read_as = None if known is None else _kind(known)
 
     @F.arrow_udf(LEAK)
     def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -515,19 +596,24 @@ def leaked(text: Column, spaces: list[Space], options: Options = Options()) -> C
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.int64()), ("words", pa.int64()), ("cosine", pa.float64())]))
         for values in columns:
             bodies = [v.as_py() or b"" for v in values.cast(pa.large_binary())]
-            by_block = zip(*[m.leaks_in(bodies) for m in own], strict=True)
+            if places is None:
+                by_block = zip(*[m.leaks_in(bodies) for m in own], strict=True)
+            else:
+                by_block = zip(*[m.leaks_among([p[np.frombuffer(b, read_as)] for b in bodies]) for m, p in zip(own, places, strict=True)], strict=True)
             yield pa.array([[dict(zip(("item_id", "common", "words", "cosine"), row, strict=True)) for rows in found for row in rows] for found in by_block], kind)
 
     return find(text)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", options: Options = Options()) -> DataFrame:
-    """(id, item_id, common, words, cosine) of every leak."""
+    """(id, item_id, common, words, cosine) of every leak; a round's leaks are written, and its documents in ids removed."""
     bodies = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     result = None
-    for spaces in _rounds(bodies, benchmark, "text", item, item_text, options):
-        found = bodies.select("id", F.explode(leaked(F.col("text"), spaces, options)).alias("leak")).select("id", "leak.*")
-        result = found if result is None else result.union(found)
+    for part in _rounds(bodies, benchmark, "text", item, item_text, options):
+        found = part.different.select("digest", F.explode(leaked(F.col("ids"), part.spaces, options, part.words)).alias("leak"))
+        mine = written(part.read.select("id", "digest").join(found, "digest").select("id", "leak.*"), "latent-leaks")
+        part.discard()
+        result = mine if result is None else result.union(mine)
     if result is None:
         return bodies.select("id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("common"), F.lit(0).cast("bigint").alias("words"), F.lit(0.0).alias("cosine")).filter("false")
     return result
@@ -536,6 +622,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", options: Options = Options()) -> DataFrame:
     """The rows that leak no item, with the columns they came with."""
     kept = docs
-    for spaces in _rounds(docs.select(text), benchmark, text, item, item_text, options):
-        kept = kept.filter(F.coalesce(F.size(leaked(F.col(text), spaces, options)), F.lit(0)) <= 0)
+    for part in _rounds(docs.select(F.col(text).alias("text")), benchmark, "text", item, item_text, options):
+        part.discard()
+        kept = kept.filter(F.coalesce(F.size(leaked(F.col(text), part.spaces, options)), F.lit(0)) <= 0)
     return kept

@@ -269,6 +269,29 @@ def test_the_sample_holds_a_text_once(spark):
     assert latent.sampled(docs, "text", latent.Options()).count() == 1040
 
 
+def test_the_space_is_fitted_to_all_documents(spark, leaky):
+    """Neither a size of sample nor the size of a text says what the fit reads; copies weigh once."""
+    docs, items, _ = leaky
+    rows = [{tuple(r) for r in latent.leaks(docs, items, options=o).collect()} for o in (latent.Options(), latent.Options(sample_documents=1, sample_bytes=1))]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def test_the_range_product_reads_every_passage(spark):
+    pick, kind = random.Random(8), np.uint16
+    docs = [[pick.randrange(31) for _ in range(pick.randrange(0, 400))] for _ in range(90)] + [[pick.randrange(31) for _ in range(30_000)]]
+    rows = [(np.array(d, kind).tobytes(),) for d in docs for _ in range(2)]
+    different = latent._different(spark.createDataFrame(rows, "ids binary").selectExpr("ids", "md5(ids) AS digest"))
+    assert different.count() == len({tuple(d) for d in docs})
+    passages = [d[a : a + 48] for d in {tuple(d) for d in docs} for a in range(0, len(d), 48)]
+    counts = np.array([np.bincount(p, minlength=31)[:30] for p in passages])
+    weights, right = np.linspace(0.5, 2, 30), np.random.default_rng(1).standard_normal((30, 6))
+    a = counts * weights
+    got = latent._range_product(different, np.arange(31, dtype=np.int32), kind, weights, right, 48)
+    assert np.allclose(got, a.T @ (a @ right), rtol=1e-3, atol=1e-2 * np.abs(got).max())
+    held, n = latent._frequencies(different, tuple(b"%d" % k for k in range(30)))
+    assert n == len(rows) and held.tolist() == [2 * sum(w in d for d in docs) for w in range(30)]
+
+
 def test_words_find_what_brute_force_finds():
     pick = random.Random(6)
     items = [tuple(pick.randrange(40) for _ in range(pick.randrange(8, 25))) for _ in range(12)]
