@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions.codes import undotted
-from termweave.operators.lexical import DOC, LexicalIndex
+from termweave.operators.lexical import DOC, LexicalIndex, salted
+from termweave.session import materialise, spread
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -122,15 +123,15 @@ def temperature_scale(scores: DataFrame, gold: DataFrame, temperatures: list[flo
 def bm25_rank(queries: DataFrame, index: LexicalIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """P-08: BM25 score of every (query text, document) pair that shares a token.
 
-    Hot tokens are spread over their salts, and the scores are summed map-side first.
+    Documents are placed once by their key with their words; words are counted, weighed and summed up where they stand, as long
+    as the queries' words are few enough to be sent there. Else hot words are spread over their salts.
     """
-    entries = index.documents.select(*DOC, F.explode("entries.token").alias("token"))
-    tf = entries.groupBy(*DOC, "token").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = index.documents.select(*DOC, F.size("entries").alias("size"))
-    stats = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    documents = index.documents.select(*DOC, F.size("entries").alias("size"), F.col("entries.token").alias("words"))
+    stats = documents.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    entries = spread(documents, index.documents, *DOC).select(*DOC, "size", F.explode("words").alias("token"))
+    tf = entries.groupBy(*DOC, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
     words = index.frequencies.where("kind = 'word'")
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
-    weighed = tf.join(words.select("source", "token", "salts"), ["source", "token"]).withColumn("salt", salt).drop("salts")
+    weighed = salted(tf, words, ["source", "token"])
     keys = (
         queries.select("text_id", F.explode("tokens").alias("token"))
         .join(words.drop("kind"), "token").join(F.broadcast(stats), "source")  # one row per source
@@ -138,7 +139,7 @@ def bm25_rank(queries: DataFrame, index: LexicalIndex, k1: float = 1.2, b: float
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select("text_id", "source", "token", "salt", "idf", "mean")
     )
-    pairs = keys.join(weighed, ["source", "token", "salt"]).join(sizes, DOC)
+    pairs = weighed.join(materialise(keys, "bm25-keys"), ["source", "token", "salt"])
     norm = 1 - b + b * F.col("size") / F.col("mean")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
     return pairs.groupBy("text_id", *DOC).agg(F.sum(part).alias("score"))

@@ -101,6 +101,19 @@ def test_salted_hot_tokens_change_nothing(spark, monkeypatch):
     assert {tuple(r) for r in L.text_candidates(asked, salted).collect()} == plain
 
 
+def test_postings_stay_where_their_documents_are(spark):
+    """No shuffle behind the written documents, and few keys leave the postings in place; frequencies count copies as rows."""
+    rows, asked = corpus(spark), queries(spark)
+    index = L.build_postings(rows.unionByName(rows)).materialise()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(L.build_postings(rows).postings)
+    keys = L.analyze_queries(asked).select(F.lit(L.CODE_SOURCE).alias("source"), F.explode("tokens").alias("token"), F.lit(1).alias("salts"))
+    assert "hashpartitioning" not in plan(L._probe(keys, index.postings, "word"))
+    held = index.documents.select(*L.DOC, F.explode("tokens").alias("token")).join(index.rows, L.DOC)
+    want = {tuple(r) for r in held.groupBy("source", "token").agg(F.countDistinct("doc_id"), F.count(F.lit(1))).collect()}
+    assert {tuple(r) for r in index.frequencies.where("kind = 'word'").select("source", "token", "df", "rows").collect()} == want
+
+
 def test_match_modes(spark):
     rows, asked = corpus(spark), queries(spark)
     index = L.build_postings(rows)
