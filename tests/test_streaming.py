@@ -90,3 +90,45 @@ def test_every_document_is_in_one_sink_and_a_repeated_batch_changes_nothing(spar
     for again in ((first, 0), (second, 1)):
         J.take_in(*again, path, J.C.flatten_items, stored)
         assert state() == (taken, refused, items)
+
+
+class _Kept:
+    """A state variable of one key that counts the calls."""
+
+    def __init__(self, calls, value=None):
+        self.calls, self.value, self.map = calls, value, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "exists":
+                return self.value is not None
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            if name == "containsKey":
+                return args[0] in self.map
+            if name == "getValue":
+                return self.map[args[0]]
+            if name == "updateValue":
+                self.map[args[0]] = args[1]
+            if name == "clear":
+                self.map, self.value = {}, None
+
+        return call
+
+
+def test_a_new_encounter_asks_the_state_for_no_items():
+    state, calls, item_calls = J.ReviewState(1000), [], []
+    state.handle, state.counts, state.items = _Kept(calls), _Kept(calls), _Kept(item_calls)
+    event = lambda seq, item, kind: J._Waiting(seq, seq, item, kind, "A1", True, True, 3)
+    state._replayed(("e",), [event(k, str(k), "scored") for k in range(3)])
+    assert item_calls == ["updateValue"] * 3
+    state._replayed(("e",), [event(9, "0", "approve"), event(10, "1", "approve")])  # an open one finds what it has kept
+    assert state.counts.value == (-1, 5, 0, 2, 3, -1) and item_calls[3:].count("containsKey") == 2
+    state._replayed(("e",), [event(11, "2", "approve"), event(12, None, J.RV.APPROVAL), event(13, "1", "remove")])
+    assert state.counts.value == (12, 7, 1, 3, 3, 1012) and item_calls[-1] == "clear" and not state.items.map
+    asked = len(item_calls)
+    state._replayed(("e",), [event(14, "1", "remove")])
+    assert state.counts.value[2] == 2 and len(item_calls) == asked
