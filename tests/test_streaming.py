@@ -122,7 +122,7 @@ class _Kept:
 def test_a_new_encounter_asks_the_state_for_no_items():
     state, calls, item_calls = J.ReviewState(1000), [], []
     state.handle, state.counts, state.items = _Kept(calls), _Kept(calls), _Kept(item_calls)
-    event = lambda seq, item, kind: J._Waiting(seq, seq, item, kind, "A1", True, True, 3)
+    event = lambda seq, item, kind: J._Waiting(seq, seq, item, kind, "A1" if kind == "scored" else None, True, True, 3)
     state._replayed(("e",), [event(k, str(k), "scored") for k in range(3)])
     assert item_calls == ["updateValue"] * 3
     state._replayed(("e",), [event(9, "0", "approve"), event(10, "1", "approve")])  # an open one finds what it has kept
